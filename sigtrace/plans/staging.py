@@ -1,0 +1,32 @@
+"""Derived feeds as written tables in the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Where none is named (local runs), a new temporary folder is set and named.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sigtrace-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and read it back: known size, no recomputation, no lineage.
+
+    A derived indicator table is read several times (profile, match, statistics),
+    so it is computed here once; a lost executor re-reads the file.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/sigtrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
