@@ -35,10 +35,11 @@ def _text_key(letter: str, size: int, text: Column) -> Column:
     return F.when(dots >= size, F.substring_index(text, ".", -size))
 
 
-def _grams(size: int, text: Column) -> Column:
+def _grams(size: int, text: Column, mark: Column) -> Column:
+    """The distinct ``size``-character pieces of a text, each marked."""
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    pieces = F.transform(starts, lambda i: text.substr(i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array())
+    pieces = F.transform(starts, lambda i: F.concat(mark, text.substr(i, F.lit(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
 def probes(tags: tuple[str, ...], text: Column, family: Column, bits: Column) -> Column:
@@ -55,7 +56,7 @@ def probes(tags: tuple[str, ...], text: Column, family: Column, bits: Column) ->
         letter, case, size = re.fullmatch(r"([ELPSGA])([is])(\d*)", tag).groups()
         folded = F.lower(text) if case == "i" else text
         if letter == "G":
-            grams.append(F.transform(_grams(int(size), folded), lambda g, m=mark: F.concat(m, g)))
+            grams.append(_grams(int(size), folded, mark))
         else:
             plain.append(F.concat(mark, _text_key(letter, int(size or 0), folded)))
 

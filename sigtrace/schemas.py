@@ -1,33 +1,74 @@
 """Fixed table schemas."""
 
-from pyspark.sql import types as T
-
-INDICATORS = T.StructType.fromDDL(
-    "feed_id string, pattern_id long, entry string, kind string, match_key string, family int,"
-    " prefix_len int, net_bits string, glob_re string, suffix_key string, data string,"
-    " mode string, probe_tag string, probe string"
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
 )
 
-FEEDS = T.StructType.fromDDL(
-    "feed_id string, path string, size_bytes long, mode string, description map<string,string>,"
-    " build_epoch long, is_auto_updated boolean, sha256 string"
+TEXT, LONG, INT, FLAG, TIME = StringType(), LongType(), IntegerType(), BooleanType(), TimestampType()
+TEXTS = ArrayType(TEXT)
+
+
+def table(**columns) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+INDICATORS = table(
+    feed_id=TEXT,
+    pattern_id=LONG,
+    entry=TEXT,
+    kind=TEXT,
+    match_key=TEXT,
+    family=INT,
+    prefix_len=INT,
+    net_bits=TEXT,
+    glob_re=TEXT,
+    suffix_key=TEXT,
+    data=TEXT,
+    mode=TEXT,
+    probe_tag=TEXT,
+    probe=TEXT,
 )
 
-LINES = T.StructType.fromDDL(
-    "monitor_id string, source string, path string, line_number long, line string, event_ts timestamp"
+FEEDS = table(
+    feed_id=TEXT,
+    path=TEXT,
+    size_bytes=LONG,
+    mode=TEXT,
+    description=MapType(TEXT, TEXT),
+    build_epoch=LONG,
+    is_auto_updated=FLAG,
+    sha256=TEXT,
 )
 
-HITS = T.StructType.fromDDL(
-    "id string, timestamp timestamp, matched_text string, match_type string, source string,"
-    " database_id string, matched_indicators array<string>, data array<string>, log_line string"
+LINES = table(monitor_id=TEXT, source=TEXT, path=TEXT, line_number=LONG, line=TEXT, event_ts=TIME)
+
+HITS = table(
+    id=TEXT,
+    timestamp=TIME,
+    matched_text=TEXT,
+    match_type=TEXT,
+    source=TEXT,
+    database_id=TEXT,
+    matched_indicators=TEXTS,
+    data=TEXTS,
+    log_line=TEXT,
 )
 
-CATALOG = T.StructType.fromDDL("path string, is_auto_updated boolean, sha256 string")
+CATALOG = table(path=TEXT, is_auto_updated=FLAG, sha256=TEXT)
 
-ARTIFACT = "struct<url:string,sha256:string,size:long,signature:string>"
-MANIFEST = T.StructType.fromDDL(
-    "channel string, databases array<struct<name:string,version:string,format_version:int,"
-    f"full:{ARTIFACT}>>, generated_at string"
+ARTIFACT = table(url=TEXT, sha256=TEXT, size=LONG, signature=TEXT)
+MANIFEST = table(
+    channel=TEXT,
+    databases=ArrayType(table(name=TEXT, version=TEXT, format_version=INT, full=ARTIFACT)),
+    generated_at=TEXT,
 )
 
-MONITORS = T.StructType.fromDDL("monitor_id string, enabled boolean")
+MONITORS = table(monitor_id=TEXT, enabled=FLAG)
