@@ -11,9 +11,9 @@ from .views import GLOBS, NET, TLDS
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 V4_RUN = r"[A-Za-z_]?[0-9]{1,4}(?:\.[0-9]{1,4}){3,126}[A-Za-z_]?"
-LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-DOMAIN_RUN = rf"(?:{LABEL}\.)+{LABEL}"
-EMAIL_RUN = rf"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{{0,64}}@(?:{LABEL}\.)+{LABEL}"
+LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+DOMAIN_RUN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL_RUN = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 V6_RUN = "[0-9A-Za-z_]{0,5}:[0-9A-Za-z_:.]*(?:[0-9A-Za-z_]|::)"
 LONG_RUN = "[0-9A-Za-z_]{26,}"
 G = "[0-9A-Fa-f]{1,4}"
@@ -65,12 +65,12 @@ def candidates(lines: str, name: str = "candidates", types: tuple = (), groups:
     """Items of a line table; ``pos`` counts the raw tokens of the given groups."""
     runs = {"ipv4": V4_RUN, "ipv6": V6_RUN, "domain": DOMAIN_RUN, "email": EMAIL_RUN, "long": LONG_RUN}
     tlds = ", ".join(f"'{t}'" for t in TLDS)
-    overlong = "regexp_matches(text, '(?:^|[.@])[A-Za-z0-9-]{64}(?:[.]|$)')"
+    labels = rf"(?:{LABEL}\.)+"
     kind = f"""CASE
       WHEN grp = 'ipv4' THEN CASE WHEN regexp_full_match(text, '{V4}') THEN 'IPv4' END
       WHEN grp = 'ipv6' THEN CASE WHEN regexp_full_match(text, '{V6}') THEN 'IPv6' END
-      WHEN grp = 'domain' THEN CASE WHEN lower(split_part(text, '.', -1)) IN ({tlds}) AND NOT {overlong} THEN 'Domain' END
-      WHEN grp = 'email' THEN CASE WHEN regexp_full_match(text, '[^@]{{1,64}}@.*[.]([A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{1,59}})') AND NOT {overlong} THEN 'Email' END
+      WHEN grp = 'domain' THEN CASE WHEN lower(split_part(text, '.', -1)) IN ({tlds}) AND regexp_full_match(text, '{labels}{LABEL}') THEN 'Domain' END
+      WHEN grp = 'email' THEN CASE WHEN regexp_full_match(text, '[^@]{{1,64}}@{labels}([A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{0,58}}[A-Za-z0-9])') THEN 'Email' END
       WHEN regexp_full_match(text, '[0-9A-Fa-f]{{32}}') THEN 'MD5'
       WHEN regexp_full_match(text, '[0-9A-Fa-f]{{40}}') THEN 'SHA1'
       WHEN regexp_full_match(text, '[0-9A-Fa-f]{{64}}') THEN 'SHA256'
@@ -79,8 +79,9 @@ def candidates(lines: str, name: str = "candidates", types: tuple = (), groups:
     parts, start = [], "0"
     for g in groups:
         found = f"regexp_extract_all(line, '{runs[g]}')"
+        text = {"domain": f"trim(unnest({found}), '-')", "email": f"rtrim(unnest({found}), '-')"}.get(g, f"unnest({found})")
         parts.append(
-            f"SELECT *, '{g}' AS grp, unnest({found}) AS text, {start} + unnest(range(0, len({found}))) AS pos FROM {lines}"
+            f"SELECT *, '{g}' AS grp, {text} AS text, {start} + unnest(range(0, len({found}))) AS pos FROM {lines}"
         )
         start += f" + len({found})"
     wanted = "" if not types else " AND match_type IN (" + ", ".join(f"'{t}'" for t in types) + ")"

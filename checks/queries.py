@@ -184,7 +184,7 @@ def feed_counts(spark, sf_dir):
 def remove_feeds(spark, sf_dir):
     """Feeds left after one is unloaded and another added."""
     loaded = V.indicators(spark, sf_dir, "derived_ip", "derived_text")
-    gone = spark.createDataFrame([("derived_ip",)], "feed_id string")
+    gone = V.constant(spark, "feed_id", ["derived_ip"])
     return I.add_feeds(I.remove_feeds(loaded, gone), V.indicators(spark, sf_dir, "derived_globs")).select(
         "feed_id", "entry", "pattern_id"
     )

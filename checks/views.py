@@ -20,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant(spark: SparkSession, column: str, values) -> DataFrame:
+    rows = ", ".join(f"('{v}')" for v in values)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({column})")
+
+
 def tlds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TLDS], "tld string")
+    return constant(spark, "tld", TLDS)
 
 
 def lines_documents(spark, sf_dir) -> DataFrame:
@@ -87,20 +92,16 @@ def _entries(df: DataFrame, feed_id: str, mode: str) -> DataFrame:
     )
 
 
-def _constant(spark, values) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "entry string")
-
-
 def net(spark, sf_dir) -> DataFrame:
-    return _entries(_constant(spark, NET), "net", P.CASE_SENSITIVE)
+    return _entries(constant(spark, "entry", NET), "net", P.CASE_SENSITIVE)
 
 
 def globs(spark, sf_dir) -> DataFrame:
-    return _entries(_constant(spark, GLOBS), "globs", P.CASE_INSENSITIVE)
+    return _entries(constant(spark, "entry", GLOBS), "globs", P.CASE_INSENSITIVE)
 
 
 def globs_cs(spark, sf_dir) -> DataFrame:
-    return _entries(_constant(spark, GLOBS), "globs_cs", P.CASE_SENSITIVE)
+    return _entries(constant(spark, "entry", GLOBS), "globs_cs", P.CASE_SENSITIVE)
 
 
 def derived_ip(spark, sf_dir) -> DataFrame:

@@ -1,10 +1,11 @@
 """Fixed text patterns of the candidate extractor and the indicator parser.
 
-Tokens are cut from a line together with one neighbouring character on each
-side, then kept only when they match as a whole.  That replaces look-around and
-word boundaries, whose meaning next to non-ASCII letters differs between Java
-versions.  Every repetition that could recurse or rescan is bounded, so a line
-of any length is scanned in linear time.
+A token pattern cuts whole runs of characters out of a line, which a second
+pattern then accepts or rejects; so a run that is too long or has a part too many
+is never taken in pieces.  Word boundaries are spelled out, since ``\\b`` next to
+non-ASCII letters differs between Java versions.  Runs start where the look-behind
+says so and repeat possessively or to a bound: a line of any length is scanned in
+linear time and without deep recursion.
 """
 
 # -- fixed values: text patterns ---------------------------------------------
@@ -29,20 +30,28 @@ IPV6_ADDRESS = "^(?:" + "|".join(IPV6_FORMS) + ")$"
 IPV6_DOTTED_TAIL = f":({DOTTED})$"
 IPV6_TOKEN = r"[0-9A-Za-z_]{0,5}:[0-9A-Za-z_:.]*(?:[0-9A-Za-z_]|::)"
 
-# A label may run to 64 characters here; 63 is the limit, so longer runs show.
-LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
-OVERLONG_LABEL = r"(?:^|[.@])[A-Za-z0-9-]{64}(?:\.|$)"
-DOMAIN_TOKEN = rf"(?:{LABEL}\.){{1,126}}{LABEL}"
+LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+DOMAIN_TOKEN = r"(?<![A-Za-z0-9-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}"
+DOMAIN_NAME = rf"^(?:{LABEL}\.){{1,126}}{LABEL}$"
 
-EMAIL_TOKEN = rf"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{{0,64}}@(?:{LABEL}\.){{1,126}}{LABEL}"
-EMAIL_ADDRESS = r"^[^@]{1,64}@.*\.(?:[A-Za-z]{2,63}|[Xx][Nn]--[A-Za-z0-9-]{1,59})$"
+EMAIL_TOKEN = (
+    r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}"
+)
+EMAIL_ADDRESS = (
+    rf"^[^@]{{1,64}}@(?:{LABEL}\.){{1,126}}(?:[A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{0,58}}[A-Za-z0-9])$"
+)
 
-LONG_TOKEN = r"[0-9A-Za-z_]{26,}"
+LONG_TOKEN = r"(?<![0-9A-Za-z_])[0-9A-Za-z_]{26,}"
 HEX_HASH = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"
 BITCOIN = r"^(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71})$"
 ETHEREUM = r"^0x[0-9A-Fa-f]{40}$"
 LONG_FORMS = "|".join((HEX_HASH, ETHEREUM, BITCOIN))
 
+# What a line must contain for a token pattern to be worth trying.
+IPV4_HINT = r"[0-9]\.[0-9]"
+IPV6_HINT = r"::|:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"
+DOMAIN_HINT = r"\.[0-9A-Za-z-]"
+
 RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}"
     r"(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$"

@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ip_bits
 from ..functions import patterns as P
-from .sizing import broadcast_if_small
+from .sizing import has_at_most, spread_if_small
 
 CANDIDATE_COLUMNS = ("pos", "match_type", "matched_text", "lookup_key", "family", "ip_bits")
 
-# One regular expression may serve several types; each is tried only on lines
-# that contain what it cannot do without.
+# One regular expression may serve several types.  It is tried only on lines that
+# pass a cheaper test.
 TOKEN_GROUPS = {
-    "ipv4": (P.IPV4_TOKEN, ".", (P.IPV4_TYPE,)),
-    "ipv6": (P.IPV6_TOKEN, ":", (P.IPV6_TYPE,)),
-    "domain": (P.DOMAIN_TOKEN, ".", (P.DOMAIN_TYPE,)),
-    "email": (P.EMAIL_TOKEN, "@", (P.EMAIL_TYPE,)),
+    "ipv4": (P.IPV4_TOKEN, lambda line: line.rlike(P.IPV4_HINT), (P.IPV4_TYPE,)),
+    "ipv6": (P.IPV6_TOKEN, lambda line: line.rlike(P.IPV6_HINT), (P.IPV6_TYPE,)),
+    "domain": (P.DOMAIN_TOKEN, lambda line: line.rlike(P.DOMAIN_HINT), (P.DOMAIN_TYPE,)),
+    "email": (P.EMAIL_TOKEN, lambda line: F.contains(line, F.lit("@")), (P.EMAIL_TYPE,)),
     "long": (
         P.LONG_TOKEN,
-        None,
+        lambda line: F.length(line) >= 26,
         (P.MD5_TYPE, P.SHA1_TYPE, P.SHA256_TYPE, P.BITCOIN_TYPE, P.ETHEREUM_TYPE),
     ),
 }
 
 
-def _tokens(line: Column, pattern: str, needs: str | None) -> Column:
+def _tokens(line: Column, pattern: str, possible: Callable[[Column], Column]) -> Column:
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    possible = F.contains(line, F.lit(needs)) if needs else F.length(line) >= 26
-    return F.when(possible, found).otherwise(F.array().cast("array<string>"))
+    return F.when(possible(line), found).otherwise(F.array().cast("array<string>"))
+
+
+def _trimmed(group: Column, token: Column) -> Column:
+    """Hyphens that only surround a name are no part of it."""
+    return (
+        F.when(group == "domain", F.trim(token, F.lit("-")))
+        .when(group == "email", F.rtrim(token, F.lit("-")))
+        .otherwise(token)
+    )
 
 
 def _is_valid(group: Column, text: Column) -> Column:
     """Whether a token has the form of its type, not only the look of it."""
-    short_labels = ~text.rlike(P.OVERLONG_LABEL)
     return (
         F.when(group == "ipv4", text.rlike(P.IPV4_ADDRESS))
         .when(group == "ipv6", text.rlike(P.IPV6_ADDRESS))
-        .when(group == "domain", short_labels)
-        .when(group == "email", text.rlike(P.EMAIL_ADDRESS) & short_labels)
+        .when(group == "domain", text.rlike(P.DOMAIN_NAME))
+        .when(group == "email", text.rlike(P.EMAIL_ADDRESS))
         .otherwise(text.rlike(P.LONG_FORMS))
     )
 
@@ -78,8 +85,8 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
     groups = {g: spec for g, spec in TOKEN_GROUPS.items() if wanted & set(spec[2])}
 
     line = F.col("line")
-    tokenised = lines.select(
-        "*", *[_tokens(line, p, needs).alias(f"__{g}") for g, (p, needs, _) in groups.items()]
+    tokenised = spread_if_small(lines).select(
+        "*", *[_tokens(line, p, possible).alias(f"__{g}") for g, (p, possible, _) in groups.items()]
     )
     found, start = [], F.lit(0)
     for g in groups:
@@ -88,7 +95,8 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
         start = start + F.size(tokens)
     rows = (
         tokenised.select(*lines.columns, F.inline(F.array(*found)))
-        .select("*", F.posexplode("__tokens").alias("__i", "matched_text"))
+        .select("*", F.posexplode("__tokens").alias("__i", "__token"))
+        .withColumn("matched_text", _trimmed(F.col("__group"), F.col("__token")))
         .where(_is_valid(F.col("__group"), F.col("matched_text")))
         .withColumn("match_type", _match_type(F.col("__group"), F.col("matched_text")))
     )
@@ -111,12 +119,14 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
 
 
 def _with_known_tld(rows: DataFrame, tlds: DataFrame) -> DataFrame:
-    known = tlds.select(F.lower("tld").alias("__tld")).distinct()
+    known = tlds.select(F.lower("tld").alias("__last"), F.lit(True).alias("__known")).distinct()
+    if has_at_most(tlds, 100_000):
+        known = F.broadcast(known)
     is_domain = F.col("match_type") == P.DOMAIN_TYPE
     last_label = F.when(is_domain, F.lower(F.substring_index("matched_text", ".", -1)))
     return (
         rows.withColumn("__last", last_label)
-        .join(broadcast_if_small(known).withColumn("__known", F.lit(True)), F.col("__last") == F.col("__tld"), "left")
+        .join(known, "__last", "left")
         .where(~is_domain | F.col("__known"))
-        .drop("__last", "__tld", "__known")
+        .drop("__last", "__known")
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import plan_bytes
+
 MOVED = "input splits changed between the counting and the numbering pass"
 
 
@@ -77,6 +79,5 @@ def pin_splits(spark) -> None:
 def split_bound(df: DataFrame) -> int:
     """Upper bound of the number of splits of a file-reading frame, from sizes alone."""
     files = len(df.inputFiles())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     smallest_split = 1024 * 1024
-    return files + size // smallest_split
+    return files + plan_bytes(df) // smallest_split

@@ -21,12 +21,32 @@ class Limits:
 DEFAULT_LIMITS = Limits()
 
 
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether a table is small, by reading at most ``max_rows + 1`` of its rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
 
-    Meant for small stored tables: the count reads at most ``max_rows + 1`` rows.
+    Meant for small stored tables, where the check is cheap.
+    """
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def spread_if_small(df: DataFrame, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
+    """Give a small input that came in few splits to all cores.
+
+    Inputs above ``max_bytes`` have splits enough and stay where they are.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if df.isStreaming or plan_bytes(df) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects of a frame; for file scans that of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def salted_join(
