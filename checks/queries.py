@@ -16,7 +16,7 @@ from sigtrace.operators import indicators as I
 from sigtrace.operators import lines as L
 from sigtrace.operators.extract import extract
 from sigtrace.plans.hits import lookup, match_candidates, scan
-from sigtrace.plans.staging import stage
+from sigtrace.operators.staging import stage
 from sigtrace.plans.update import replace_auto_updated
 from sigtrace.sources import artifacts as A
 from sigtrace.sources import catalog as K
@@ -259,8 +259,8 @@ def alerts(spark, sf_dir):
 def recent_hits(spark, sf_dir):
     """Newest 500 of three hit feeds, one of which arrives twice."""
     clock = {"hit_time": F.col("event_ts")}
-    conn = scan(V.lines_conn(spark, sf_dir), feed(spark, sf_dir, "net"), V.tlds(spark), **clock)
-    docs = scan(V.lines_documents(spark, sf_dir), feed(spark, sf_dir, "derived_ip", "derived_text"), V.tlds(spark), **clock)
+    conn = stage(scan(V.lines_conn(spark, sf_dir), feed(spark, sf_dir, "net"), V.tlds(spark), **clock))
+    docs = stage(scan(V.lines_documents(spark, sf_dir), feed(spark, sf_dir, "derived_ip", "derived_text"), V.tlds(spark), **clock))
     return shown(H.recent_hits(conn, docs, docs), S.rfc3339(F.col("timestamp")).alias("hit_time"))
 
 
@@ -270,7 +270,7 @@ def recent_hits(spark, sf_dir):
 @query
 def monitor_stats(spark, sf_dir):
     lines = V.lines_documents(spark, sf_dir)
-    found = extract(lines, V.tlds(spark))
+    found = stage(extract(lines, V.tlds(spark)).drop("line"))
     hits = match_candidates(
         found, feed(spark, sf_dir, "derived_ip", "derived_text"), hit_time=F.col("event_ts"), keep=["monitor_id"]
     )

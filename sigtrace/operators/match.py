@@ -5,7 +5,8 @@ A candidate produces the probes that the feed's tags call for (see
 really matches.  When the indicators fit the broadcast limits the candidates are
 never shuffled, only the matches are.  Larger indicator tables are joined by
 shuffle with the *distinct* texts, and the outcome is joined back to the
-occurrences; both joins are salted.
+occurrences; both joins are salted.  The candidates are then needed several
+times, so they are written to the shared folder instead of extracted again.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from .indicators import FeedProfile, profile_indicators
 from .sizing import DEFAULT_LIMITS, Limits, salted_join
+from .staging import stage
 
 FOUND = ("feed_id", "network", "patterns")
 
@@ -117,6 +119,7 @@ def match(
         return _grouped(_confirmed(joined), candidates.columns)
 
     text = ["lookup_key", "family", "ip_bits"]
+    candidates = stage(candidates)
     distinct = candidates.select(*text).distinct()
     joined = salted_join(_probed(distinct, profile), side, "probe", ["lookup_key"], limits)
     known = _grouped(_confirmed(joined), text).select("lookup_key", *FOUND)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 class Limits:
     """Largest table that is sent whole to every executor."""
 
-    broadcast_rows: int = 4_000_000
-    broadcast_bytes: int = 512 * 1024 * 1024
+    broadcast_rows: int = 2_000_000
+    broadcast_bytes: int = 256 * 1024 * 1024
     hot_fraction: int = 1000
 
 

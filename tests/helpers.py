@@ -1,7 +1,7 @@
 """Small tables for tests."""
 
 from sigtrace.functions.patterns import CASE_SENSITIVE
-from sigtrace.plans.staging import stage
+from sigtrace.operators.staging import stage
 from sigtrace.schemas import LINES
 from sigtrace.sources.feeds import indicators_from
 
