@@ -13,8 +13,11 @@ from . import patterns as P
 
 
 def _ipv4_bits(address: Column) -> Column:
-    octets = F.split(address, r"\.")
-    return F.concat(*[F.lpad(F.conv(F.get(octets, F.lit(i)), 10, 2), 8, "0") for i in range(4)])
+    def octet(i: int) -> Column:
+        return F.substring_index(F.substring_index(address, ".", i), ".", -1).cast("bigint")
+
+    number = octet(1) * 256**3 + octet(2) * 256**2 + octet(3) * 256 + octet(4)
+    return F.lpad(F.bin(number), 32, "0")
 
 
 def _hex_pair(high: Column, low: Column) -> Column:

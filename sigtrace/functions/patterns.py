@@ -2,7 +2,8 @@
 
 A token pattern cuts whole runs of characters out of a line, which a second
 pattern then accepts or rejects; so a run that is too long or has a part too many
-is never taken in pieces.  Word boundaries are spelled out, since ``\\b`` next to
+is never taken in pieces.  Where few positions can start a token the first character
+is asked for before the look-behind.  Word boundaries are spelled out, since ``\\b`` next to
 non-ASCII letters differs between Java versions.  Runs start where the look-behind
 says so and repeat possessively or to a bound: a line of any length is scanned in
 linear time and without deep recursion.
@@ -11,7 +12,9 @@ linear time and without deep recursion.
 # -- fixed values: text patterns ---------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_ADDRESS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-IPV4_TOKEN = r"[A-Za-z_]?[0-9]{1,4}(?:\.[0-9]{1,4}){3,126}[A-Za-z_]?"
+IPV4_TOKEN = (
+    r"[0-9](?<!(?:[0-9A-Za-z_]|[0-9]\.)[0-9])[0-9]{0,3}+(?:\.[0-9]{1,4}+){3,126}+(?![0-9A-Za-z_])"
+)
 
 GROUP = r"[0-9A-Fa-f]{1,4}"
 DOTTED = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -31,7 +34,7 @@ IPV6_DOTTED_TAIL = f":({DOTTED})$"
 IPV6_TOKEN = r"[0-9A-Za-z_]{0,5}:[0-9A-Za-z_:.]*(?:[0-9A-Za-z_]|::)"
 
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-DOMAIN_TOKEN = r"(?<![A-Za-z0-9-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}"
+DOMAIN_TOKEN = r"[A-Za-z0-9-](?<![A-Za-z0-9-]{2})[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){1,126}"
 DOMAIN_NAME = rf"^(?:{LABEL}\.){{1,126}}{LABEL}$"
 
 EMAIL_TOKEN = (
@@ -41,7 +44,7 @@ EMAIL_ADDRESS = (
     rf"^[^@]{{1,64}}@(?:{LABEL}\.){{1,126}}(?:[A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{0,58}}[A-Za-z0-9])$"
 )
 
-LONG_TOKEN = r"(?<![0-9A-Za-z_])[0-9A-Za-z_]{26,}"
+LONG_TOKEN = r"(?<![0-9A-Za-z_])[0-9A-Za-z_]{26}[0-9A-Za-z_]*+"
 HEX_HASH = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"
 BITCOIN = r"^(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71})$"
 ETHEREUM = r"^0x[0-9A-Fa-f]{40}$"
@@ -49,7 +52,7 @@ LONG_FORMS = "|".join((HEX_HASH, ETHEREUM, BITCOIN))
 
 # What a line must contain for a token pattern to be worth trying.
 IPV4_HINT = r"[0-9]\.[0-9]"
-IPV6_HINT = r"::|:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"
+IPV6_HINT = r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"
 DOMAIN_HINT = r"\.[0-9A-Za-z-]"
 
 RFC3339 = (

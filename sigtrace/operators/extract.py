@@ -17,7 +17,7 @@ CANDIDATE_COLUMNS = ("pos", "match_type", "matched_text", "lookup_key", "family"
 # pass a cheaper test.
 TOKEN_GROUPS = {
     "ipv4": (P.IPV4_TOKEN, lambda line: line.rlike(P.IPV4_HINT), (P.IPV4_TYPE,)),
-    "ipv6": (P.IPV6_TOKEN, lambda line: line.rlike(P.IPV6_HINT), (P.IPV6_TYPE,)),
+    "ipv6": (P.IPV6_TOKEN, lambda line: F.contains(line, F.lit("::")) | line.rlike(P.IPV6_HINT), (P.IPV6_TYPE,)),
     "domain": (P.DOMAIN_TOKEN, lambda line: line.rlike(P.DOMAIN_HINT), (P.DOMAIN_TYPE,)),
     "email": (P.EMAIL_TOKEN, lambda line: F.contains(line, F.lit("@")), (P.EMAIL_TYPE,)),
     "long": (
@@ -43,11 +43,15 @@ def _trimmed(group: Column, token: Column) -> Column:
 
 
 def _is_valid(group: Column, text: Column) -> Column:
-    """Whether a token has the form of its type, not only the look of it."""
+    """Whether a token has the form of its type, not only the look of it.
+
+    Of domains only those whose last label begins with a digit are turned away
+    here; the list of TLDs leaves few for the full test.
+    """
     return (
         F.when(group == "ipv4", text.rlike(P.IPV4_ADDRESS))
         .when(group == "ipv6", text.rlike(P.IPV6_ADDRESS))
-        .when(group == "domain", text.rlike(P.DOMAIN_NAME))
+        .when(group == "domain", F.substring_index(text, ".", -1) >= "A")
         .when(group == "email", text.rlike(P.EMAIL_ADDRESS))
         .otherwise(text.rlike(P.LONG_FORMS))
     )
@@ -112,7 +116,7 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
         (F.col("__start") + F.col("__i")).alias("pos"),
         "match_type",
         "matched_text",
-        lookup_key(text).alias("lookup_key"),
+        F.when(kind.isin(P.MD5_TYPE, P.SHA1_TYPE, P.SHA256_TYPE), F.lower(text)).otherwise(text).alias("lookup_key"),
         family.alias("family"),
         ip_bits(text, family).alias("ip_bits"),
     )
@@ -127,6 +131,6 @@ def _with_known_tld(rows: DataFrame, tlds: DataFrame) -> DataFrame:
     return (
         rows.withColumn("__last", last_label)
         .join(known, "__last", "left")
-        .where(~is_domain | F.col("__known"))
+        .where(~is_domain | (F.col("__known") & F.col("matched_text").rlike(P.DOMAIN_NAME)))
         .drop("__last", "__known")
     )
