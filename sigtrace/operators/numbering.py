@@ -45,14 +45,25 @@ def number_file_rows(df: DataFrame, name: str) -> DataFrame:
     grow inside a task, so a row's number is its distance from the first row of
     its split plus the rows of the splits before it: one small table row per split.
     """
-    spark = df.sparkSession
-    pin_splits(spark)
+    pin_splits(df.sparkSession)
+    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    return _number_rows(df, start, length, name, split_bound(df) <= 1_000_000)
+
+
+def number_batch_rows(batch: DataFrame, name: str) -> DataFrame:
+    """The same for a micro-batch of whole files, which carries ``path`` and ``block``.
+
+    ``batch`` must be persisted and come straight from the files.
+    """
+    splits = batch.select("path", "block").distinct()
+    few = splits.limit(1_000_001).count() <= 1_000_000
+    return _number_rows(batch, F.col("block.start"), F.col("block.length"), name, few).drop("block")
+
+
+def _number_rows(df: DataFrame, start: Column, length: Column, name: str, few_splits: bool) -> DataFrame:
     split = ["path", "__start", "__length"]
     tagged = df.select(
-        "*",
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.col("_metadata.file_block_length").alias("__length"),
-        F.monotonically_increasing_id().alias("__mid"),
+        "*", start.alias("__start"), length.alias("__length"), F.monotonically_increasing_id().alias("__mid")
     )
     sizes = tagged.groupBy(*split).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first")
@@ -60,11 +71,9 @@ def number_file_rows(df: DataFrame, name: str) -> DataFrame:
     shifts = sizes.select(
         *split, (_rows_before(["path"], ["__start"]) - F.col("__first") + 1).alias("__shift")
     )
-    if split_bound(df) <= 1_000_000:
-        shifts = F.broadcast(shifts)
     known = F.coalesce("__shift", F.raise_error(F.lit(MOVED)).cast("long"))
     return (
-        tagged.join(shifts, split, "left")
+        tagged.join(F.broadcast(shifts) if few_splits else shifts, split, "left")
         .withColumn(name, F.col("__mid") + known)
         .drop("__start", "__length", "__mid", "__shift")
     )

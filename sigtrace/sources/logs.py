@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base_name, source_label
-from ..operators.numbering import number_file_rows
+from ..operators.numbering import number_batch_rows, number_file_rows
 
 
 def name_matches(path: Column, pattern: str) -> Column:
@@ -24,7 +24,7 @@ def _glob_filter(pattern: str) -> str:
 
 
 def _labelled(rows: DataFrame, monitor_id: str, capture: bool, *columns) -> DataFrame:
-    return rows.where(F.length("line") > 0).select(
+    return rows.select(
         F.lit(monitor_id).alias("monitor_id"),
         source_label(F.col("path"), capture).alias("source"),
         "path",
@@ -46,8 +46,9 @@ def read_log_lines(
     """Non-empty lines of all files under ``path``.
 
     Lines end at ``\\n`` only.  ``line_number`` counts from 1 with empty lines
-    included; numbering reads the input once more (without shuffling it), and
-    ``numbered=False`` leaves it null.  ``event_ts`` is the file's modification time.
+    included; numbering reads the input once more (without shuffling it).  With
+    ``numbered=False`` it is a row id instead, which tells lines apart but means
+    nothing and may differ when the files are split differently.  ``event_ts`` is the file's modification time.
     """
     text = (
         spark.read.option("lineSep", "\n")
@@ -61,8 +62,8 @@ def read_log_lines(
             "_metadata",
         )
     )
-    rows = number_file_rows(text, "line_number") if numbered else text.withColumn("line_number", F.lit(None).cast("long"))
-    return _labelled(rows, monitor_id, capture, "line_number")
+    rows = number_file_rows(text, "line_number") if numbered else text.withColumn("line_number", F.monotonically_increasing_id())
+    return _labelled(rows, monitor_id, capture, "line_number").where(F.length("line") > 0)
 
 
 def read_log_stream(
@@ -73,10 +74,15 @@ def read_log_stream(
     capture: bool = True,
     max_files: int = 1000,
 ) -> DataFrame:
-    """Stream of the lines of closed files that appear in ``directory``.
+    """Stream of all lines of closed files that appear in ``directory``.
 
-    For files that still grow use the ``tail`` source.  ``line_number`` is null.
+    For files that still grow use the ``tail`` source.  Rows carry the ``block`` of
+    the file they come from; in a micro-batch ``finish_batch`` turns it into line
+    numbers and drops empty lines (``scan_stream`` does so by itself).
     """
+    block = F.struct(
+        F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")
+    )
     text = (
         spark.readStream.option("lineSep", "\n")
         .option("pathGlobFilter", _glob_filter(pattern))
@@ -86,7 +92,13 @@ def read_log_stream(
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_modification_time").alias("event_ts"),
-            F.lit(None).cast("long").alias("line_number"),
+            block.alias("block"),
         )
     )
-    return _labelled(text, monitor_id, capture, "line_number")
+    return _labelled(text, monitor_id, capture, "block")
+
+
+def finish_batch(batch: DataFrame) -> DataFrame:
+    """Lines of a persisted micro-batch, numbered per file and without empty ones."""
+    numbered = number_batch_rows(batch, "line_number") if "block" in batch.columns else batch
+    return numbered.where(F.length("line") > 0)

@@ -18,6 +18,7 @@ from ..operators.hits import alerts
 from ..operators.indicators import FeedProfile, profile_indicators
 from ..plans.hits import match_candidates
 from ..sources.hits import read_hits
+from ..sources.logs import finish_batch
 
 log = logging.getLogger(__name__)
 
@@ -59,8 +60,10 @@ class BatchScan:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         indicators, profile = self.feeds.refresh()
-        lines = batch if self.monitors is None else enabled_lines(batch, self.monitors)
-        lines = lines.persist()
+        batch = batch.persist()
+        lines = finish_batch(batch)
+        if self.monitors is not None:
+            lines = enabled_lines(lines, self.monitors)
         found = extract(lines, self.tlds).persist()
         try:
             hits = match_candidates(
@@ -74,7 +77,7 @@ class BatchScan:
             self._alert(stored, batch_id)
         finally:
             found.unpersist()
-            lines.unpersist()
+            batch.unpersist()
 
     def _alert(self, hits: DataFrame, batch_id: int) -> None:
         try:
@@ -101,7 +104,7 @@ def scan_stream(
     observed metric ``lines``.
     """
     body = BatchScan(FeedHolder(load), tlds, out, monitors, include_line)
-    counted = lines.observe("lines", F.count(F.lit(1)).alias("lines"))
+    counted = lines.observe("lines", F.count_if(F.length("line") > 0).alias("lines"))
     writer = counted.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 

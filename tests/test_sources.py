@@ -100,6 +100,7 @@ def test_log_lines_recursive_and_labels(spark, tmp_path):
     (tmp_path / "conn.log").write_text("y\n")
     lines = read_log_lines(spark, str(tmp_path), "m", recursive=True, capture=True, numbered=False)
     assert rows(lines, "source", "line") == [("Zeek:conn", "y"), ("Zeek:dns", "x")]
+    assert lines.select("line_number").distinct().count() == 2
 
 
 def test_split_and_tail(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sigtrace.operators.hits import recent_hits
 from sigtrace.plans.hits import scan
 from sigtrace.plans.update import current_feeds, current_indicators, publish_feed, save_feeds, unload_feeds
-from sigtrace.sources.logs import read_log_lines, read_log_stream
+from sigtrace.sources.logs import finish_batch, read_log_lines, read_log_stream
 from sigtrace.sources.tail import register_tail
 from sigtrace.streaming.scan import FeedHolder, running_counters, scan_stream, stored_alerts, stored_hits
 
@@ -54,17 +54,36 @@ def test_stream_equals_batch_over_restart_and_reload(spark, tmp_path):
     assert rows(stored_hits(spark, out), "matched_text") == [("10.1.1.1",)]
 
     publish_feed(feed(spark, [("evil.com", '{"a":1}')]), feeds, "names", "1", root, auto_updated=False)
-    (tmp_path / "logs" / "dns.log").write_text("10.2.2.2 evil.com\nevil.com\n")
+    (tmp_path / "logs" / "dns.log").write_text("10.2.2.2 evil.com\n\nevil.com\nevil.com\n")
     run()
     (tmp_path / "both").mkdir()
     shutil.copy(tmp_path / "logs" / "dns.log", tmp_path / "both" / "dns.log")
     batch = scan(read_log_lines(spark, str(tmp_path / "both"), "m", capture=True), current_indicators(spark, root), tlds(spark))
+    assert batch.count() == 4
     assert rows(stored_hits(spark, out).where("source = 'Zeek:dns'"), *PLAIN) == rows(batch, *PLAIN)
-    assert rows(running_counters(spark, out), "monitor_id", "lines_processed", "items_extracted", "hits_found") == [("m", 4, 5, 4)]
+    assert rows(running_counters(spark, out), "monitor_id", "lines_processed", "items_extracted", "hits_found") == [("m", 5, 6, 5)]
     assert stored_alerts(spark, out).where(F.col("title") == "Intelligence Hit: IPv4").count() == 2
     assert recent_hits(stored_hits(spark, out), stored_hits(spark, out), n=3).count() == 3
 
 
+def test_batches_of_closed_files_number_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / name).write_text("".join(f"{name}{i}\n" if i % 3 else "\n" for i in range(1, 2001)))
+    got = []
+
+    def collect(batch, _):
+        got.extend(rows(finish_batch(batch.persist()), "line", "line_number"))
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        stream = read_log_stream(spark, str(tmp_path / "in"), "m")
+        finish(stream.writeStream.foreachBatch(collect).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted((f"{n}{i}", i) for n in "ab" for i in range(1, 2001) if i % 3)
+
+
 def test_tail_stream_with_disabled_monitor_and_no_feed(spark, tmp_path):
     register_tail(spark)
     (tmp_path / "logs").mkdir()
