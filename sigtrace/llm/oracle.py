@@ -1,7 +1,22 @@
 """DuckDB SQL of the numbered operators that SQL can express."""
 
+from .licenses import COPYRIGHT, KNOWN, SPELLINGS
+
 ORACLE = {}
 
+ORACLE["op1_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
 ORACLE["op6_decontamination"] = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -32,3 +47,77 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLE["op8_warc_fixity"] = r"""
+WITH files AS (SELECT greatest(1, (count(*) + 999) // 1000) AS n FROM pages),
+named AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         md5(concat(coalesce(CAST(page_id AS VARCHAR), ''), '|', coalesce(url, ''), '|', coalesce(html, ''))) AS record_id
+  FROM pages),
+written AS (
+  SELECT CAST(('0x' || substr(record_id, 1, 8)) AS BIGINT) % n AS file, named.* FROM named, files),
+replicas AS (
+  SELECT 0 AS side, * FROM written
+  UNION ALL
+  SELECT 1, file, page_id, url,
+         CASE WHEN coalesce(page_id, 0) % 997 = 7 THEN left(html, length(html) // 2)
+              WHEN coalesce(page_id, 0) % 211 = 5 THEN '!' || substr(html, 2) ELSE html END, record_id
+  FROM written WHERE coalesce(page_id, 0) % 1499 <> 11),
+stored AS (
+  SELECT side, file, record_id,
+         concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+                'WARC-Record-ID: <urn:md5:', record_id, '>', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+                'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS b
+  FROM replicas),
+entries AS (
+  SELECT side, file, record_id, CAST(strlen(b) AS BIGINT) AS length, sha256(b) AS digest, count(*) AS copies
+  FROM stored GROUP BY ALL),
+placed AS (
+  SELECT *, CAST(coalesce(sum(length * copies) OVER (PARTITION BY side, file ORDER BY record_id, digest
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offs
+  FROM entries),
+pairs AS (
+  SELECT file, record_id, a.offs AS a_offs, b.offs AS b_offs, a.copies AS a_n, b.copies AS b_n, coalesce(a.length, b.length) AS length
+  FROM (SELECT * FROM placed WHERE side = 0) a FULL JOIN (SELECT * FROM placed WHERE side = 1) b USING (file, record_id, digest)),
+records AS (
+  SELECT file, record_id, bool_or(b_offs IS NULL) AS lost, bool_or(a_offs IS NULL) AS gained, bool_or(a_offs <> b_offs) AS moved,
+         bool_or(a_n <> b_n) AS recounted, min(a_offs) AS expected_offset, min(b_offs) AS found_offset, min(length) AS length
+  FROM pairs GROUP BY file, record_id)
+SELECT file, record_id,
+       CASE WHEN lost AND gained THEN 'corrupt' WHEN lost THEN 'missing' WHEN gained THEN 'extra'
+            WHEN recounted THEN 'copies' ELSE 'moved' END AS status,
+       coalesce(expected_offset, -1) AS expected_offset, coalesce(found_offset, -1) AS found_offset, length
+FROM records WHERE lost OR gained OR recounted OR moved
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    """Canonical text with its line breaks, before copyright lines go."""
+    out = f"replace(replace(lower({column}), '©', ' copyright '), '(c)', ' copyright ')"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for spelling, usual in SPELLINGS:
+        out = f"replace({out}, {_quoted(spelling)}, {_quoted(usual)})"
+    return out
+
+
+def _lines(column: str) -> str:
+    cut = f"regexp_replace(trim(x, ' '), {_quoted(COPYRIGHT)}, '')"
+    return f"list_transform(string_split({_canonical(column)}, chr(10)), lambda x: {cut})"
+
+
+ORACLE["op10_licenses"] = f"""
+WITH known AS (
+  SELECT DISTINCT license_id, sha256(array_to_string(list_filter({_lines("t")}, lambda x: x <> ''), ' ')) AS digest
+  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)}) k(license_id, t)),
+lines AS (SELECT doc_id, {_lines("text")} AS l FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, 0 AS line, array_to_string(list_filter(l, lambda x: x <> ''), ' ') AS t FROM lines
+  UNION ALL
+  SELECT doc_id, unnest(range(1, len(l) + 1)), unnest(l) FROM lines)
+SELECT doc_id, CAST(line AS BIGINT) AS line, license_id, digest
+FROM (SELECT doc_id, line, sha256(t) AS digest FROM units WHERE t <> '') JOIN known USING (digest)
+"""

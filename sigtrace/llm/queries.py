@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, secrets, sentencepieces, simhash
+from . import decontaminate, hashtree, langid, licenses, merkle, secrets, sentencepieces, simhash, topk, urlrules
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@query
+def op2_shards(spark, sf_dir):
+    return hashtree.shard(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,6 +44,11 @@ def op4_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+@query
+def op5_url_filter(spark, sf_dir):
+    return urlrules.classify(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -43,6 +59,18 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+@query
+def op8_warc_fixity(spark, sf_dir):
+    written = merkle.layout(table(spark, sf_dir, "pages"))
+    found = merkle.audit(merkle.fixity(written), merkle.fixity(merkle.aged(written)))
+    return found.fillna(-1, ["expected_offset", "found_offset"])  # -1: the record is not in that replica
+
+
 @query
 def op9_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
