@@ -201,8 +201,8 @@ class ItemAutomaton:
 
 
 def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[ItemAutomaton]:
-    """Automata over the items (item_id, text), read row by row and closed at ``block_words`` words."""
-    held, size = [], 0
+    """Automata over the items (item_id, text), read row by row and closed at ``block_words`` words; one at least."""
+    held, size, closed = [], 0, 0
     for item, text in only(items, "item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
         if not (found := words(text)):
             continue
@@ -210,8 +210,8 @@ def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORD
         size += len(found)
         if size >= block_words:
             yield ItemAutomaton(held, window)
-            held, size = [], 0
-    if held:
+            held, size, closed = [], 0, closed + 1
+    if held or not closed:
         yield ItemAutomaton(held, window)
 
 
@@ -242,12 +242,12 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_
     context = documents.sparkSession.sparkContext
     width = len(documents.columns)
     frame = documents
-    for number, automaton in enumerate(list(blocks(items, window, block_words)) or [ItemAutomaton([], window)]):
+    for number, automaton in enumerate(blocks(items, window, block_words)):
         sent = context.broadcast(automaton)
         inputs = ["text"] if not number else [frame.columns[documents.columns.index("text")], *frame.columns[-2:]]
         frame = with_columns(frame, inputs, HITS, _one_block(sent))
         if number:  # the newest three columns take the place of the ones before
-            frame = frame.select(*frame.columns[:width], *frame.columns[-3:])
+            frame = frame.select(*frame.columns[:width], *frame.columns[-3:]).toDF(*(f"c{i}" for i in range(width + 3)))
     return frame
 
 
