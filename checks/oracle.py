@@ -12,9 +12,11 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 V4_RUN = r"[A-Za-z_]?[0-9]{1,4}(?:\.[0-9]{1,4}){3,126}[A-Za-z_]?"
 LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-DOMAIN_RUN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-EMAIL_RUN = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-V6_RUN = "[0-9A-Za-z_]{0,5}:[0-9A-Za-z_:.]*(?:[0-9A-Za-z_]|::)"
+HOST_LABEL = "[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?"
+# whole runs, by what they consist of and must contain
+DOMAIN_RUN = r"[A-Za-z0-9_-]*\.[A-Za-z0-9._-]+"
+EMAIL_RUN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9._-]+"
+V6_RUN = r"[0-9A-Za-z_.]*:[0-9A-Za-z_:.]*"
 LONG_RUN = "[0-9A-Za-z_]{26,}"
 G = "[0-9A-Fa-f]{1,4}"
 V6 = (
@@ -65,11 +67,11 @@ def candidates(lines: str, name: str = "candidates", types: tuple = (), groups:
     """Items of a line table; ``pos`` counts the raw tokens of the given groups."""
     runs = {"ipv4": V4_RUN, "ipv6": V6_RUN, "domain": DOMAIN_RUN, "email": EMAIL_RUN, "long": LONG_RUN}
     tlds = ", ".join(f"'{t}'" for t in TLDS)
-    labels = rf"(?:{LABEL}\.)+"
+    labels, host_labels = rf"(?:{LABEL}\.)+", rf"(?:{HOST_LABEL}\.)+"
     kind = f"""CASE
       WHEN grp = 'ipv4' THEN CASE WHEN regexp_full_match(text, '{V4}') THEN 'IPv4' END
       WHEN grp = 'ipv6' THEN CASE WHEN regexp_full_match(text, '{V6}') THEN 'IPv6' END
-      WHEN grp = 'domain' THEN CASE WHEN lower(split_part(text, '.', -1)) IN ({tlds}) AND regexp_full_match(text, '{labels}{LABEL}') THEN 'Domain' END
+      WHEN grp = 'domain' THEN CASE WHEN lower(split_part(text, '.', -1)) IN ({tlds}) AND len(string_split(text, '.')) <= 127 AND regexp_full_match(text, '{host_labels}{LABEL}') THEN 'Domain' END
       WHEN grp = 'email' THEN CASE WHEN regexp_full_match(text, '[^@]{{1,64}}@{labels}([A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{0,58}}[A-Za-z0-9])') THEN 'Email' END
       WHEN regexp_full_match(text, '[0-9A-Fa-f]{{32}}') THEN 'MD5'
       WHEN regexp_full_match(text, '[0-9A-Fa-f]{{40}}') THEN 'SHA1'
@@ -79,7 +81,15 @@ def candidates(lines: str, name: str = "candidates", types: tuple = (), groups:
     parts, start = [], "0"
     for g in groups:
         found = f"regexp_extract_all(line, '{runs[g]}')"
-        text = {"domain": f"trim(unnest({found}), '-')", "email": f"rtrim(unnest({found}), '-')"}.get(g, f"unnest({found})")
+        if g == "ipv6":  # a group with another character than a hexadecimal one ends an address
+            marked = "list_transform(string_split(t, ':'), lambda g: CASE WHEN regexp_full_match(g, '[0-9A-Fa-f.]*') THEN g ELSE ' ' END)"
+            pieces = f"string_split(replace(replace(array_to_string({marked}, ':'), ': ', ' '), ' :', ' '), ' ')"
+            found = f"flatten(list_transform({found}, lambda t: list_filter({pieces}, lambda p: length(p) - length(replace(p, ':', '')) > 1)))"
+        text = {
+            "domain": f"trim(unnest({found}), '.-')",
+            "email": f"ltrim(rtrim(unnest({found}), '.-'), '.')",
+            "ipv6": f"regexp_replace(rtrim(unnest({found}), '.'), '([^:]):$', '\\1')",
+        }.get(g, f"unnest({found})")
         parts.append(
             f"SELECT *, '{g}' AS grp, {text} AS text, {start} + unnest(range(0, len({found}))) AS pos FROM {lines}"
         )
@@ -181,7 +191,7 @@ def sql(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + select
 
 
-PLACE = ("source", "path", "line_number", "pos")
+PLACE = ("monitor_id", "source", "path", "line_number", "pos")
 HITS = "SELECT id, matched_text, match_type, source, database_id, indicators, payload FROM hits"
 TEXT_TOKENS = candidates("lines_documents", "tokens", ("SHA1", "Email"), ("email", "long"))
 TEXT_QUERIES = "SELECT matched_text AS query FROM tokens UNION ALL SELECT upper(host) FROM hosts"

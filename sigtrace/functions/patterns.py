@@ -2,11 +2,11 @@
 
 A token pattern cuts whole runs of characters out of a line, which a second
 pattern then accepts or rejects; so a run that is too long or has a part too many
-is never taken in pieces.  Where few positions can start a token the first character
+is never taken in pieces.  Bounds are in the second pattern only.  Where few positions can start a token the first character
 is asked for before the look-behind.  Word boundaries are spelled out, since ``\\b`` next to
 non-ASCII letters differs between Java versions.  Runs start where the look-behind
-says so and repeat possessively or to a bound: a line of any length is scanned in
-linear time and without deep recursion.
+says so and are single classes repeated possessively: a line of any length is
+scanned in linear time and without deep recursion.
 """
 
 # -- fixed values: text patterns ---------------------------------------------
@@ -31,15 +31,15 @@ IPV6_FORMS = (
 )
 IPV6_ADDRESS = "^(?:" + "|".join(IPV6_FORMS) + ")$"
 IPV6_DOTTED_TAIL = f":({DOTTED})$"
-IPV6_TOKEN = r"[0-9A-Za-z_]{0,5}:[0-9A-Za-z_:.]*(?:[0-9A-Za-z_]|::)"
+IPV6_TOKEN = r"(?<![0-9A-Za-z_:.])[0-9A-Za-z_.]*+:[0-9A-Za-z_:.]*+"
+IPV6_GROUP = r"^[0-9A-Fa-f.]*$"
 
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-DOMAIN_TOKEN = r"[A-Za-z0-9-](?<![A-Za-z0-9-]{2})[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){1,126}"
-DOMAIN_NAME = rf"^(?:{LABEL}\.){{1,126}}{LABEL}$"
+HOST_LABEL = r"[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?"
+DOMAIN_TOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9_-]*+\.[A-Za-z0-9._-]++"
+DOMAIN_NAME = rf"^(?:{HOST_LABEL}\.){{1,126}}{LABEL}$"
 
-EMAIL_TOKEN = (
-    r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}"
-)
+EMAIL_TOKEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9._-]++"
 EMAIL_ADDRESS = (
     rf"^[^@]{{1,64}}@(?:{LABEL}\.){{1,126}}(?:[A-Za-z]{{2,63}}|[Xx][Nn]--[A-Za-z0-9-]{{0,58}}[A-Za-z0-9])$"
 )

@@ -33,11 +33,19 @@ def _tokens(line: Column, pattern: str, possible: Callable[[Column], Column]) ->
     return F.when(possible(line), found).otherwise(F.array().cast("array<string>"))
 
 
+def _ipv6_pieces(token: Column) -> Column:
+    """The parts of a run with colons between groups that are not hexadecimal."""
+    groups = F.transform(F.split(token, ":"), lambda g: F.when(g.rlike(P.IPV6_GROUP), g).otherwise(F.lit(" ")))
+    cut = F.replace(F.replace(F.array_join(groups, ":"), F.lit(": "), F.lit(" ")), F.lit(" :"), F.lit(" "))
+    return F.filter(F.split(cut, " "), lambda p: F.like(p, F.lit("%:%:%")))
+
+
 def _trimmed(group: Column, token: Column) -> Column:
-    """Hyphens that only surround a name are no part of it."""
+    """Points, hyphens and a colon that only surround a name or address are no part of it."""
     return (
-        F.when(group == "domain", F.trim(token, F.lit("-")))
-        .when(group == "email", F.rtrim(token, F.lit("-")))
+        F.when(group == "domain", F.trim(token, F.lit(".-")))
+        .when(group == "email", F.ltrim(F.rtrim(token, F.lit(".-")), F.lit(".")))
+        .when(group == "ipv6", F.regexp_replace(F.rtrim(token, F.lit(".")), "([^:]):$", "$1"))
         .otherwise(token)
     )
 
@@ -89,9 +97,10 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
     groups = {g: spec for g, spec in TOKEN_GROUPS.items() if wanted & set(spec[2])}
 
     line = F.col("line")
-    tokenised = spread_if_small(lines).select(
-        "*", *[_tokens(line, p, possible).alias(f"__{g}") for g, (p, possible, _) in groups.items()]
-    )
+    tokens_of = {g: _tokens(line, p, possible) for g, (p, possible, _) in groups.items()}
+    if "ipv6" in tokens_of:
+        tokens_of["ipv6"] = F.flatten(F.transform(tokens_of["ipv6"], _ipv6_pieces))
+    tokenised = spread_if_small(lines).select("*", *[tokens.alias(f"__{g}") for g, tokens in tokens_of.items()])
     found, start = [], F.lit(0)
     for g in groups:
         tokens = F.col(f"__{g}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where none is named (local runs), a new temporary folder becomes the
-    checkpoint folder of the context.
+    Where none is named, a new temporary folder becomes the checkpoint folder of a
+    local session.  On a cluster that is an error: executors would write to their
+    own disks, and tables read back would be empty.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sigtrace-"))
     return context.getCheckpointDir()
 

@@ -103,8 +103,12 @@ def match_candidates(
     profile: FeedProfile | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Hits of extracted candidates; ``keep`` adds further line columns at the end."""
-    place = [c for c in ("source", "path", "file_id", "line_number", "pos") if c in candidates.columns]
+    """Hits of extracted candidates; ``keep`` adds further line columns at the end.
+
+    The place of a hit, and so its id, includes the monitor: two monitors that
+    read one file each get their own hits.
+    """
+    place = [c for c in ("monitor_id", "source", "path", "file_id", "line_number", "pos") if c in candidates.columns]
     carried = ["event_ts"] if hit_time is not None and "event_ts" in candidates.columns else []
     wanted = dict.fromkeys([*place, *carried, *keep, *CANDIDATE_COLUMNS, *(["line"] if include_line else [])])
     matches = match(candidates.select(*wanted), indicators, profile, limits)

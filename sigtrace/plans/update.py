@@ -1,17 +1,22 @@
 """Feed store: publish a feed version, replace the catalog, read the current state.
 
-``<root>/indicators/feed=<name>/version=<v>`` holds one immutable version and
-``<root>/feeds/snapshot=<n>`` one immutable state of the catalog.  A publish adds
-a version and then a snapshot; readers take the highest snapshot once, so they
-see the old state or the new one and never a mixture.
+Each publish writes its indicators to a path of its own below
+``<root>/indicators/feed=<name>/version=<v>``, and each state of the catalog is
+written once to ``<root>/feeds/snapshot=<n>/write=<id>``.  A publish adds
+indicators and then a snapshot; readers take the highest snapshot that has data
+files, so they see the old state or the new one and never a mixture.  Every
+snapshot holds a marker row, so an empty catalog is a state like any other, and a
+write that broke off leaves no data file and is passed over.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.sizing import broadcast_if_small
 from ..schemas import FEEDS, INDICATORS
@@ -21,15 +26,22 @@ def _snapshots(root: str) -> str:
     return f"{root}/feeds"
 
 
-def current_feeds(spark: SparkSession, root: str) -> DataFrame:
-    """The catalog as of now; empty before the first publish."""
-    schema = T.StructType([*FEEDS.fields, T.StructField("snapshot", T.LongType())])
+def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and folder of the highest snapshot, from the names of its files alone."""
     try:
-        states = spark.read.schema(schema).parquet(_snapshots(root))
+        files = spark.read.schema(FEEDS).parquet(_snapshots(root)).inputFiles()
     except AnalysisException:
+        return None
+    found = [(int(m[1]), m[0]) for f in files if (m := re.search(r"snapshot=(\d+)/write=\w+", f))]
+    return max(found, default=None)
+
+
+def current_feeds(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog as of now; empty before the first publish."""
+    newest = _newest(spark, root)
+    if newest is None:
         return spark.createDataFrame([], FEEDS)
-    newest = states.agg(F.max("snapshot").alias("n")).first()["n"]
-    return states.where(F.col("snapshot") == newest).drop("snapshot")
+    return spark.read.schema(FEEDS).parquet(f"{_snapshots(root)}/{newest[1]}").where(F.col("feed_id").isNotNull())
 
 
 def current_indicators(spark: SparkSession, root: str) -> DataFrame:
@@ -41,14 +53,13 @@ def current_indicators(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_feeds(feeds: DataFrame, root: str) -> None:
-    """Make ``feeds`` the current catalog."""
+    """Make ``feeds``, which may be empty, the current catalog."""
     spark = feeds.sparkSession
-    try:
-        last = spark.read.parquet(_snapshots(root)).agg(F.max("snapshot").alias("n")).first()["n"]
-    except AnalysisException:
-        last = None
-    number = 0 if last is None else last + 1
-    feeds.select(*FEEDS.fieldNames()).coalesce(1).write.mode("error").parquet(f"{_snapshots(root)}/snapshot={number}")
+    newest = _newest(spark, root)
+    number = newest[0] + 1 if newest else 0
+    marker = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in FEEDS.fields))
+    rows = feeds.select(*FEEDS.fieldNames()).where(F.col("feed_id").isNotNull()).union(marker)
+    rows.coalesce(1).write.parquet(f"{_snapshots(root)}/snapshot={number}/write={uuid.uuid4().hex}")
 
 
 def replace_auto_updated(feeds: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,12 +84,12 @@ def publish_feed(
 ) -> DataFrame:
     """Write a feed version and make it current; returns the new catalog.
 
-    An auto-updated feed takes the place of the earlier auto-updated one.  Older
-    version directories stay for batches that still read them.
+    An auto-updated feed takes the place of the earlier auto-updated one.  What
+    earlier publishes wrote stays for batches that still read it.
     """
     spark = indicators.sparkSession
-    path = f"{root}/indicators/feed={name}/version={version}"
-    indicators.withColumn("feed_id", F.lit(name)).select(*INDICATORS.fieldNames()).write.mode("overwrite").parquet(path)
+    path = f"{root}/indicators/feed={name}/version={version}/publish={uuid.uuid4().hex}"
+    indicators.withColumn("feed_id", F.lit(name)).select(*INDICATORS.fieldNames()).write.parquet(path)
     row = {
         "feed_id": name,
         "path": path,

@@ -43,21 +43,35 @@ def file_inventory(spark: SparkSession, path: str, recursive: bool = False) -> D
 def verify_artifacts(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
     """Check each manifest file against what landed: ``status`` and first ``error``.
 
-    Files are paired by name.  ``status`` is ``ok``, ``rejected`` or ``missing``.
+    Files are paired by name; of several landed files of one name the one whose
+    path ends with the longest part of the URL counts, the first path of equals.
+    A file whose manifest row has no hash or no size cannot be verified and is
+    rejected.  ``status`` is ``ok``, ``rejected`` or ``missing``.
     """
     landed = inventory.select(
         base_name(F.col("path")).alias("__file"), "path", "length", F.col("sha256").alias("found"), "head"
     )
     error = (
-        F.when((F.col("length") > 5) & (F.col("head") == HTML_START), F.lit("file is an HTML page"))
+        F.when(F.col("sha256").isNull(), F.lit("manifest has no SHA-256"))
+        .when(F.col("size").isNull(), F.lit("manifest has no size"))
+        .when((F.col("length") > 5) & (F.col("head") == HTML_START), F.lit("file is an HTML page"))
         .when(F.col("found") != F.col("sha256"), F.concat(F.lit("SHA-256 is "), "found", F.lit(", expected "), "sha256"))
         .when(F.col("length") < 4, F.concat(F.lit("file has only "), F.col("length").cast("string"), F.lit(" bytes")))
         .when(F.left("head", F.lit(8)) != ZSTD_MAGIC, F.concat(F.lit("first bytes are "), F.left("head", F.lit(8))))
         .when(F.col("length") != F.col("size"), F.lit("size differs from the manifest"))
     )
+    parts = lambda c: F.reverse(F.split(c, "/"))
+    same = F.zip_with(parts("url"), parts("path"), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.aggregate(
+        same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")),
+    )["n"]
+    rows = manifest.withColumn("__file", base_name(F.col("url"))).join(landed, "__file", "left")
+    best = F.min_by(F.struct("path", "length", "found", "head"), F.struct((-shared).alias("n"), "path")).alias("__best")
     return (
-        manifest.withColumn("__file", base_name(F.col("url")))
-        .join(landed, "__file", "left")
+        rows.groupBy("name", "version", "url", "sha256", "size")
+        .agg(best)
+        .select("*", "__best.*")
         .withColumn("error", error)
         .withColumn(
             "status",

@@ -7,24 +7,30 @@
 option                 meaning
 =====================  =========================================================
 ``path``               file or directory (local, HDFS or object store URI)
-``pathGlobFilter``     names taken from a directory, default ``*``
+``pathGlobFilter``     files taken from a directory: ``*`` (default) or ``*.<extension>``
 ``monitorId``          value of ``monitor_id``, default ``tail``
 ``capture``            label capture logs ``Zeek:<name>``, default false
 ``startingPosition``   ``latest`` (default) or ``earliest``, for files present at start
-``maxBytesPerBatch``   size at which a micro-batch stops, default 1 GiB
+``maxBytesPerBatch``   bytes a micro-batch takes from all files, default 1 GiB
 ``partitionBytes``     bytes per task, default 64 MiB
 ``failOnDataLoss``     fail when planned bytes are gone (default) or skip them
 =====================  =========================================================
 
-The offset holds, per file, the end of what has been read and a fingerprint of
-the first bytes.  The end always stands behind a newline, so unfinished lines
-wait in the file and nothing is kept between batches.  A file that got shorter or
-whose first bytes changed is read from its start.  The driver lists files and
-reads fingerprints and line ends; executors read the byte ranges and check the
-fingerprint first.  Spark does not tell a source where a restarted query stands
-before it asks for the newest offset, so the byte limit holds from the second
-batch of a run on.  The offset is proportional to the number of files present:
-use the built-in file source for archives of closed files.
+The offset holds, per file, the end of what has been read and fingerprints of
+the first bytes and of those before the end.  The end always stands behind a
+newline, so unfinished lines wait in the file and nothing is kept between batches.
+A file that got shorter or in which either fingerprint changed is another file and
+read from its start.  The driver lists files and reads fingerprints and line ends,
+but only of files whose size or time changed; executors read the byte ranges and
+check the fingerprint first.
+
+The byte limit is dealt out over the files that have something new, those that
+waited longest first, so no busy file holds up another; a line longer than a share
+is taken whole.  Spark does not tell a source where a restarted query stands before
+it asks for the newest offset: there the first batch takes what was written while
+the query was down, and the limit holds from the second one on.  The offset is
+proportional to the number of files present: use the built-in file source for
+archives of closed files.
 """
 
 from __future__ import annotations
@@ -76,6 +82,18 @@ class TailRange(InputPartition):
     head_hash: str
 
 
+def file_glob(pattern: str) -> str:
+    """``*`` takes every file, ``*.ext`` those whose extension is the pattern's last part."""
+    return "*" if pattern == "*" else "?*." + pattern.removeprefix("*.").split(".")[-1]
+
+
+def tail_hash(stream, end: int) -> str:
+    """Fingerprint of the bytes before ``end``."""
+    start = max(0, end - FINGERPRINT)
+    stream.seek(start)
+    return hashlib.sha256(stream.read(end - start)).hexdigest()[:32]
+
+
 def head_hash(stream, size: int) -> str:
     stream.seek(0)
     head = stream.read(size)
@@ -111,7 +129,7 @@ def line_end_after(stream, low: int, high: int) -> int | None:
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.glob = options.get("pathglobfilter", "*")
+        self.glob = file_glob(options.get("pathglobfilter", "*"))
         self.monitor_id = options.get("monitorid", "tail")
         self.capture = options.get("capture", "false").lower() == "true"
         self.starting = options.get("startingposition", "latest")
@@ -121,13 +139,16 @@ class TailReader(DataSourceStreamReader):
         if self.starting not in ("latest", "earliest"):
             raise ValueError(f"startingPosition must be latest or earliest, not {self.starting}")
         self.last: dict | None = None
+        self.seen: dict[str, tuple[int, int]] = {}
+        self.served: dict[str, int] = {}
+        self.turn = 0
 
     # -- on the driver ---------------------------------------------------------
 
     def initialOffset(self) -> dict:
-        if self.starting == "earliest":
-            return {}
-        return dict(self._ends(None) if self.last is None else self.last)
+        if self.last is None:
+            self.last = {} if self.starting == "earliest" else self._ends(None)
+        return {} if self.starting == "earliest" else dict(self.last)
 
     def latestOffset(self) -> dict:
         self.last = self._ends(self.last)
@@ -145,7 +166,7 @@ class TailReader(DataSourceStreamReader):
             try:
                 with fs.open_input_file(path) as f:
                     self._check(f, path, e["size"], e["hash"])
-                    same = s is not None and s["end"] <= e["end"] and head_hash(f, s["size"]) == s["hash"]
+                    same = s is not None and s["end"] <= e["end"] and self._is_same(f, s)
             except (OSError, DataLoss) as problem:
                 if self.strict:
                     raise DataLoss(f"{path}: {problem}") from problem
@@ -174,24 +195,45 @@ class TailReader(DataSourceStreamReader):
     def _ends(self, known: dict | None) -> dict:
         """Where reading may go in every file present, given where it stands."""
         fs, files = self._files()
-        left = self.budget
-        ends = {}
+        self.turn += 1
+        ends, waiting = {}, []
         for info in files:
+            entry = (known or {}).get(info.path)
+            state = (info.size, info.mtime_ns or 0)
+            if entry is not None and self.seen.get(info.path) == state and entry["end"] == info.size:
+                ends[info.path] = entry  # read to its end, and not written since
+                continue
+            try:
+                with fs.open_input_file(info.path) as f:
+                    base = entry["end"] if entry is not None and entry["end"] <= info.size and self._is_same(f, entry) else 0
+            except FileNotFoundError:
+                continue
+            self.seen[info.path] = state
+            if entry is not None and base == info.size == entry["end"]:
+                ends[info.path] = entry
+            else:
+                waiting.append((info, base))
+        waiting.sort(key=lambda w: (self.served.get(w[0].path, 0), w[0].size - w[1], w[0].path))
+        left = self.budget
+        for place, (info, base) in enumerate(waiting):
+            pending = info.size - base
+            share = pending if known is None else min(pending, max(1, left // (len(waiting) - place)) if left > 0 else 0)
             try:
                 with fs.open_input_file(info.path) as f:
-                    base = self._base(f, info, (known or {}).get(info.path))
-                    end = self._end(f, base, info.size, left if known is not None else info.size)
+                    end = self._end(f, base, info.size, share)
                     size = min(end, FINGERPRINT)
-                    ends[info.path] = {"end": end, "size": size, "hash": head_hash(f, size)}
-                    left = max(0, left - (end - base))
+                    entry = {"end": end, "size": size, "hash": head_hash(f, size), "tail": tail_hash(f, end)}
             except FileNotFoundError:
                 continue
+            ends[info.path] = entry
+            if end > base:
+                left -= end - base
+                self.served[info.path] = self.turn
         return ends
 
-    def _base(self, f, info, entry: dict | None) -> int:
-        if entry is None or info.size < entry["end"] or head_hash(f, entry["size"]) != entry["hash"]:
-            return 0
-        return entry["end"]
+    def _is_same(self, f, entry: dict) -> bool:
+        """Whether the file still holds what the entry was made of."""
+        return head_hash(f, entry["size"]) == entry["hash"] and entry.get("tail") in (None, tail_hash(f, entry["end"]))
 
     def _end(self, f, base: int, size: int, budget: int) -> int:
         if budget <= 0:

@@ -46,8 +46,11 @@ class FeedHolder:
 class BatchScan:
     """Body of the micro-batch: extract, match, count, store, alert.
 
-    Everything is written under ``batch_id=<n>`` in overwrite mode, so a batch
-    that is run again replaces what its first run left.
+    Everything is written under ``stream=<id>/batch_id=<n>`` in overwrite mode, so a
+    batch that is run again replaces what its first run left.  The id is that of the
+    query, which Spark keeps in the checkpoint: other queries, and a query with a new
+    checkpoint, have folders of their own.  Alerts that could not be written are
+    tried again with the next batch.
     """
 
     feeds: FeedHolder
@@ -56,9 +59,11 @@ class BatchScan:
     monitors: DataFrame | None = None
     include_line: bool = False
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    unalerted: list[str] = field(default_factory=list)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        place = f"stream={spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch_id={batch_id}"
         indicators, profile = self.feeds.refresh()
         batch = batch.persist()
         lines = finish_batch(batch)
@@ -69,21 +74,25 @@ class BatchScan:
             hits = match_candidates(
                 found, indicators, include_line=self.include_line, keep=["monitor_id"], profile=profile
             )
-            hits_path = f"{self.out}/hits/batch_id={batch_id}"
+            hits_path = f"{self.out}/hits/{place}"
             hits.write.mode("overwrite").parquet(hits_path)
             stored = spark.read.schema(hits.schema).parquet(hits_path)
             counters = monitor_stats(lines, found, stored).withColumn("run_id", F.lit(self.run_id))
-            counters.write.mode("overwrite").parquet(f"{self.out}/counters/batch_id={batch_id}")
-            self._alert(stored, batch_id)
+            counters.write.mode("overwrite").parquet(f"{self.out}/counters/{place}")
+            self._alert(stored, place)
         finally:
             found.unpersist()
             batch.unpersist()
 
-    def _alert(self, hits: DataFrame, batch_id: int) -> None:
-        try:
-            alerts(hits).write.mode("overwrite").parquet(f"{self.out}/alerts/batch_id={batch_id}")
-        except Exception:
-            log.exception("alerts of batch %s were not written", batch_id)
+    def _alert(self, hits: DataFrame, place: str) -> None:
+        waiting, self.unalerted = [*self.unalerted, place], []
+        for each in waiting:
+            try:
+                stored = hits.sparkSession.read.schema(hits.schema).parquet(f"{self.out}/hits/{each}")
+                alerts(stored).write.mode("overwrite").parquet(f"{self.out}/alerts/{each}")
+            except Exception:
+                log.exception("alerts of %s were not written", each)
+                self.unalerted.append(each)
 
 
 def scan_stream(
@@ -115,7 +124,7 @@ def running_counters(spark: SparkSession, out: str, run_id: str | None = None) -
     if run_id is not None:
         batches = batches.where(F.col("run_id") == run_id)
     total = [F.sum(c).alias(c) for c in ("lines_processed", "items_extracted", "hits_found")]
-    last = F.max_by("last_activity", F.when(F.col("last_activity").isNotNull(), F.col("batch_id")))
+    last = F.max("last_activity")
     return batches.groupBy("monitor_id").agg(*total, last.alias("last_activity"))
 
 
@@ -126,11 +135,15 @@ def stored_hits(spark: SparkSession, out: str) -> DataFrame:
 
 def stored_alerts(spark: SparkSession, out: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{out}/alerts").drop("batch_id")
+        return spark.read.parquet(f"{out}/alerts").drop("stream", "batch_id")
     except AnalysisException:
         return None
 
 
 def dedupe_stream(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Streaming hits without repeats of an id that arrive within ``delay``."""
+    """Streaming hits without repeats of an id that arrive within ``delay``.
+
+    Rows later than ``delay`` are not passed on; Spark counts them in the query's
+    progress as ``numRowsDroppedByWatermark``.
+    """
     return hits.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])

@@ -89,3 +89,29 @@ def test_long_lines_finish(spark):
 def test_unknown_type_is_refused(spark):
     with pytest.raises(ValueError):
         extract(lines(spark, "x"), tlds(spark), ["Phone"])
+
+
+@pytest.mark.parametrize(
+    "text,kind,expected",
+    [
+        ("src:2001:db8::1 addr:fe80::1, x:::1 2001:db8::2:port", "IPv6", ["2001:db8::1", "fe80::1", "::1", "2001:db8::2"]),
+        ("foo_bar.evil.com _dmarc.evil.com evil.com_x", "Domain", ["foo_bar.evil.com", "_dmarc.evil.com"]),
+        (".".join(["a"] * 141) + ".com", "Domain", []),
+        ("x" * 70 + ".bob@evil.com", "Email", []),
+    ],
+)
+def test_whole_runs(spark, text, kind, expected):
+    assert [t for _, t in found(spark, text, kind)] == expected
+
+
+@pytest.mark.parametrize("unit", ["::1 :.", ":.", "a.", "a@", "1.", "aaaaaaaaaa", "f:", ".-"])
+def test_time_grows_with_the_length_of_a_line(spark, unit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        extract(lines(spark, "::1 a@b.c " + unit * (n // len(unit))), tlds(spark)).count()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(1_000_000) < 20 * seconds(100_000) + 2

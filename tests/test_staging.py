@@ -1,11 +1,13 @@
 from types import SimpleNamespace
 
+import pytest
+
 from sigtrace.operators.staging import shared_folder, stage
 
 
-def session(named, current=None):
+def session(named, current=None, master="local[4]"):
     state = {"dir": current}
-    context = SimpleNamespace(getCheckpointDir=lambda: state["dir"], setCheckpointDir=lambda d: state.update(dir=d))
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: state["dir"], setCheckpointDir=lambda d: state.update(dir=d))
     return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named or d), sparkContext=context)
 
 
@@ -21,3 +23,9 @@ def test_staged_tables_keep_their_schema(spark):
     again = stage(df)
     assert again.schema == df.schema and sorted(again.collect()) == sorted(df.collect())
     assert spark.conf.get("spark.checkpoint.dir") in again.inputFiles()[0]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(None, master=master))

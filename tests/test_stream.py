@@ -115,3 +115,38 @@ def test_failed_reload_keeps_the_last_feeds(spark):
 
     holder = FeedHolder(load)
     assert holder.refresh()[0] is good and holder.refresh()[0] is good and holder.profile.rows == 1
+
+
+def test_two_streams_on_one_folder_keep_all_hits(spark, tmp_path):
+    out, root = str(tmp_path / "out"), str(tmp_path / "root")
+    publish_feed(feed(spark, ["10.0.0.0/8"]), no_feeds(spark, root), "nets", "1", root)
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.log").write_text(f"10.1.1.{ord(name)}\n")
+        stream = read_log_stream(spark, str(tmp_path / name), name, "*.log")
+        finish(scan_stream(stream, lambda: current_indicators(spark, root), tlds(spark), out, str(tmp_path / f"state-{name}"), {"availableNow": True}))
+    assert rows(stored_hits(spark, out), "matched_text") == [("10.1.1.97",), ("10.1.1.98",)]
+    assert rows(running_counters(spark, out), "monitor_id", "hits_found") == [("a", 1), ("b", 1)]
+    assert stored_alerts(spark, out).count() == 2
+
+
+def test_the_last_feed_can_be_unloaded_and_another_published(spark, tmp_path):
+    root = str(tmp_path)
+    only = publish_feed(feed(spark, ["a.com"]), no_feeds(spark, root), "auto", "v1", root)
+    held = current_indicators(spark, root)
+    save_feeds(unload_feeds(only, only.select("feed_id")), root)
+    assert current_feeds(spark, root).count() == 0 and current_indicators(spark, root).count() == 0
+    (tmp_path / "feeds" / "snapshot=9" / "write=broken" / "_temporary").mkdir(parents=True)
+    again = publish_feed(feed(spark, ["b.com"]), current_feeds(spark, root), "auto", "v1", root)
+    assert rows(again, "feed_id") == [("auto",)]
+    assert rows(current_indicators(spark, root), "entry") == [("b.com",)]
+    assert rows(held, "entry") == [("a.com",)]  # readers of the version before are undisturbed
+
+
+def test_two_monitors_on_one_path_get_their_own_hits(spark, tmp_path):
+    lines = spark.createDataFrame(
+        [(m, "s", "p", 1, "GET evil.com") for m in "ab"], "monitor_id string, source string, path string, line_number long, line string"
+    )
+    hits = scan(lines, feed(spark, ["evil.com"]), tlds(spark))
+    assert [r.matched_indicators for r in hits.collect()] == [["pattern_0"]] * 2
+    assert hits.select("id").distinct().count() == 2

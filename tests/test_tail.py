@@ -109,3 +109,60 @@ def test_stream_restart_reads_only_what_is_new(spark, tmp_path):
     append(logs / "b.txt", b"other\n")
     append(logs / "c.log.log", b"c1\n")
     assert run() == [("Zeek:a", "l1"), ("Zeek:a", "l3"), ("Zeek:a", "partial"), ("Zeek:c", "c1")]
+
+
+def test_rotation_to_a_file_with_the_same_first_bytes(tmp_path):
+    log = tmp_path / "a.log"
+    head = b"#" * 2000 + b"\n"
+    append(log, head + b"old 1\n")
+    r = reader(tmp_path, startingPosition="earliest")
+    r.initialOffset()
+    a = r.latestOffset()
+    with open(log, "wb") as f:
+        f.write(head + b"new 1\nnew 2\nnew 3\n")
+    b = r.latestOffset()
+    assert [t for _, _, t in lines_between(r, a, b)][-3:] == ["new 1", "new 2", "new 3"]
+
+
+def test_a_busy_file_does_not_hold_up_another(tmp_path):
+    r = reader(tmp_path, startingPosition="earliest", maxBytesPerBatch=100)
+    at = r.initialOffset()
+    got = []
+    for i in range(12):
+        append(tmp_path / "a.log", b"busy line %d\n" % i * 50)
+        append(tmp_path / "z.log", b"rare %d\n" % i)
+        end = r.latestOffset()
+        got += lines_between(r, at, end)
+        at = end
+    assert [t for n, _, t in got if n == "z.log"] == [f"rare {i}" for i in range(12)]
+
+
+def test_many_files_take_turns(tmp_path):
+    for i in range(10):
+        append(tmp_path / f"{i}.log", b"0123456789\n" * 20)
+    r = reader(tmp_path, startingPosition="earliest", maxBytesPerBatch=33)
+    at, got = r.initialOffset(), []
+    for _ in range(80):
+        end = r.latestOffset()
+        batch = lines_between(r, at, end)
+        assert 1 <= len(batch) <= 4
+        got, at = got + batch, end
+        if len(got) == 200:
+            break
+    assert len(got) == len(set(got)) == 200
+
+
+def test_first_batch_keeps_the_limit(tmp_path):
+    append(tmp_path / "a.log", b"0123456789\n" * 1000)
+    r = reader(tmp_path, startingPosition="earliest", maxBytesPerBatch=100)
+    start = r.initialOffset()
+    assert len(lines_between(r, start, r.latestOffset())) <= 10
+
+
+def test_unchanged_files_are_not_opened(tmp_path, monkeypatch):
+    append(tmp_path / "a.log", b"one\n")
+    r = reader(tmp_path, startingPosition="earliest")
+    r.initialOffset()
+    a = r.latestOffset()
+    monkeypatch.setattr(r, "_is_same", lambda *_: pytest.fail("opened"))
+    assert r.latestOffset() == a
