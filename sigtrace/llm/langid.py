@@ -38,8 +38,8 @@ BUCKETS, LONGEST = 1 << 16, 4
 #: Words of the lexicon: seen this often in the sample.
 LEXICON_COUNT = 5
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.1, 1e-4
-#: Word emissions kept between batches of a worker.
-KEPT = 400_000
+#: Word emissions kept between batches of a task, and words whose n-grams are looked up at once.
+KEPT, SLICE = 250_000, 10_000
 #: Documents scored below this have no main language; halves in two languages stay.
 MIN_SCORE = 0.4
 
@@ -70,7 +70,7 @@ def gram_hashes(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Field:
-    """A trained model; ``kept`` is the worker's memory of emissions."""
+    """A trained model; ``kept`` is a task's memory of emissions."""
 
     languages: list[str]
     grams: np.ndarray
@@ -98,15 +98,18 @@ class Field:
     def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Words as rows of ``table``, which holds exp(emission); new words are added."""
         if len(self.kept) > KEPT or self.table is None:
-            self.kept, self.table = {}, np.empty((0, len(self.languages)))
+            self.forget()
         new = list(set().union(*texts).difference(self.kept))
         if new:
             self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
-            made = np.vstack([self.emissions(new[i : i + 50_000]) for i in range(0, len(new), 50_000)])
+            made = np.vstack([self.emissions(new[i : i + SLICE]) for i in range(0, len(new), SLICE)])
             self.table = np.vstack([self.table, np.exp(made - made.max(axis=1, keepdims=True))])
         get = self.kept.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
+    def forget(self) -> None:
+        self.kept, self.table = {}, np.empty((0, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
@@ -304,7 +307,7 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 def labelled(documents: DataFrame, model: Field) -> DataFrame:
     """All columns of ``documents`` and, last, lang_pred and score."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return with_columns(documents, ["text"], FIELDS, lambda texts: sent.value.predict(texts))
+    return with_columns(documents, ["text"], FIELDS, lambda texts: sent.value.predict(texts), lambda: sent.value.forget())
 
 
 def identify(documents: DataFrame, model: Field | None = None) -> DataFrame:

@@ -26,12 +26,14 @@ def with_columns(
     inputs: list[str],
     fields: list[T.StructField],
     compute: Callable[..., list],
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with ``fields`` appended, computed batch by batch from the columns ``inputs``.
 
     ``compute`` gets one Python list for each input and returns one array or list
     for each field.  All rows and columns pass through, so no join brings the
     results back.  The new columns stand last and are found by position, see ``split``.
+    ``finish`` is called when a task ends, to drop what its worker keeps in memory.
     """
     places = [df.columns.index(name) for name in inputs]
     width = len(df.columns)
@@ -41,10 +43,14 @@ def with_columns(
     kinds = [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = compute(*(batch.column(i).to_pylist() for i in places))
-            arrays = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+        try:
+            for batch in batches:
+                made = compute(*(batch.column(i).to_pylist() for i in places))
+                arrays = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+        finally:
+            if finish:
+                finish()
 
     return df.toDF(*names[:width]).mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .rows import chunks, only, split, with_columns
 
 SPACE = "▁"
-#: Units kept between batches of a worker, and their characters.
+#: Units kept between batches of a task, and their characters.
 KEPT_UNITS, KEPT_CHARS = 500_000, 8_000_000
 #: Units up to this length keep their agenda in a list, longer ones in a heap.
 SHORT = 48
@@ -154,6 +154,9 @@ class PieceCodec:
             self.plain[unit] = self.spell(ids)
             self.chars += len(unit)
 
+    def forget(self) -> None:
+        self.coded, self.plain, self.chars = {}, {}, 0
+
     def lone(self, unit: str) -> list[int]:
         """The library encodes the empty text to nothing; before a line break the space shows."""
         return self.library.encode("\n")[:1]
@@ -163,7 +166,7 @@ class PieceCodec:
         coded, plain = [], []
         for start, end in chunks(texts):
             if len(self.coded) > KEPT_UNITS or self.chars > KEPT_CHARS:
-                self.coded, self.plain, self.chars = {}, {}, 0
+                self.forget()
             parts = [self.units(self.marked(t)) if t else [] for t in texts[start:end]]
             self.learn(set().union(*parts))
             of, back = self.coded.__getitem__, self.plain.__getitem__
@@ -215,5 +218,5 @@ def encode(documents: DataFrame, model: str, with_ids: bool = False) -> DataFram
     rows = only(documents, "doc_id", "text")
     fields = FIELDS + IDS * with_ids
     names = ["doc_id", *(f.name for f in fields)]
-    made = with_columns(rows, ["text"], fields, compute)
+    made = with_columns(rows, ["text"], fields, compute, lambda: codec(model).forget())
     return split(made, ["doc_id", "text", *names[1:]], names)
