@@ -52,6 +52,14 @@ lines_pages AS (
   SELECT 'pages' AS monitor_id, 'Zeek:http' AS source, CAST(page_id AS VARCHAR) AS path, CAST(1 AS BIGINT) AS line_number,
          url AS line, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(page_id AS BIGINT)) AS event_ts FROM pages)"""
 
+LOG_FILES = """
+log_files AS (
+  SELECT source AS path, line, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line_number
+  FROM (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents))"""
+
+V6_PART = [f"substr(md5(text), {4 * i + 1}, 4)" for i in range(8)]
+V6_FULL = " || ':' || ".join(V6_PART)
+
 ADDRESS = "'10.' || CAST(user_id % 8 AS VARCHAR) || '.' || CAST(event_id % 4 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR)"
 
 LINES_CONN = f"""
@@ -258,6 +266,21 @@ ORACLE = {
         select="""SELECT path, string_agg(line, chr(10) ORDER BY line_number) AS tail FROM (
           SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number DESC) AS r FROM lines_documents) WHERE r <= 3 GROUP BY path""",
     ),
+    "tail_lines_long": sql(
+        LOG_FILES,
+        select="""SELECT path, md5(string_agg(line, chr(10) ORDER BY line_number)) AS tail_md5 FROM (
+          SELECT *, max(line_number) OVER (PARTITION BY path) AS m FROM log_files) WHERE line_number > m - 2000 GROUP BY path""",
+    ),
+    "read_logs": sql(LOG_FILES, select="SELECT path, line_number, line FROM log_files WHERE line <> ''"),
+    "extract_ipv6_prefixed": f"""
+      SELECT CAST(doc_id AS VARCHAR) AS path, 'IPv6' AS match_type,
+             unnest([{V6_FULL}, {V6_PART[0]} || '::' || {V6_PART[1]}, '::' || {V6_PART[2]}, {V6_FULL}]) AS matched_text FROM documents""",
+    "extract_domain_underscore": sql(
+        HOSTS, select="SELECT CAST(page_id AS VARCHAR) AS path, 'Domain' AS match_type, '_x_' || CAST(page_id AS VARCHAR) || '.' || host AS matched_text FROM hosts"
+    ),
+    "extract_long_runs": """
+      SELECT CAST(doc_id AS VARCHAR) AS path, unnest(['Domain', 'Domain', 'Domain', 'Email']) AS match_type,
+             unnest(['x.com', 'ok' || CAST(doc_id AS VARCHAR) || '.com', 'y.org', 'b' || CAST(doc_id AS VARCHAR) || '@y.org']) AS matched_text FROM documents""",
     "extract_ipv4": sql(LINES_DOCUMENTS, candidates("lines_documents", types=("IPv4",), groups=("ipv4",)), select=ITEMS),
     "extract_domain": sql(
         LINES_DOCUMENTS, LINES_PAGES, "both_lines AS (SELECT * FROM lines_documents UNION ALL SELECT * FROM lines_pages)",
@@ -316,6 +339,48 @@ ORACLE = {
         select=f"SELECT * EXCLUDE (event_ts, line), {TIME.format('event_ts')} AS hit_time, line AS log_line FROM hits",
     ),
     "scan_pages": sql(LINES_PAGES, HOSTS, indicators("globs", "derived_globs"), candidates("lines_pages"), hits("candidates", PLACE), select=HITS),
+    "scan_brand_globs": sql(
+        HOSTS,
+        """brands AS (SELECT DISTINCT '*' || split_part(host, '.', -3) || '*.' || split_part(host, '.', -1) AS entry FROM hosts WHERE length(split_part(host, '.', -3)) > 2)""",
+        select="""SELECT host AS matched_text, string_agg(entry, ', ' ORDER BY sha256(entry)) AS indicators
+          FROM (SELECT DISTINCT host FROM hosts) JOIN brands ON regexp_full_match(host, replace(replace(entry, '.', '[.]'), '*', '.*')) GROUP BY host""",
+    ),
+    "scan_two_monitors": sql(
+        LINES_DOCUMENTS, LINES_PAGES, HOSTS,
+        "two_monitors AS (SELECT * REPLACE (unnest(['a', 'b']) AS monitor_id) FROM lines_pages)",
+        indicators("globs", "derived_text"), candidates("two_monitors"), hits("candidates", PLACE, "monitor_id"), select="SELECT * FROM hits",
+    ),
+    "scan_html": sql(
+        LINES_DOCUMENTS, HOSTS,
+        """html_lines AS (SELECT * FROM (
+          SELECT 'html' AS monitor_id, 'html' AS source, CAST(page_id AS VARCHAR) AS path,
+                 CAST(unnest(range(1, len(string_split(html, chr(10))) + 1)) AS BIGINT) AS line_number, unnest(string_split(html, chr(10))) AS line
+          FROM pages) WHERE line <> '')""",
+        indicators("derived_text"), candidates("html_lines"), hits("candidates", PLACE, "path, line_number, pos"), select="SELECT * FROM hits",
+    ),
+    "scan_logs_stream": sql(
+        LINES_DOCUMENTS, HOSTS, LOG_FILES, "full_lines AS (SELECT *, path AS source, 'm' AS monitor_id FROM log_files WHERE line <> '')",
+        indicators("derived_text"), candidates("full_lines"), hits("candidates", PLACE),
+        select="SELECT matched_text, match_type, 'text' AS database_id, indicators, payload FROM hits",
+    ),
+    "publish_unload": sql(LINES_DOCUMENTS, HOSTS, indicators("derived_globs"), select="SELECT feed_id, pattern_id, entry, kind, data FROM indicators"),
+    "feed_list": sql(
+        LINES_DOCUMENTS, HOSTS, indicators("net", "derived_text", "derived_globs"),
+        select="""SELECT feed_id, '/feeds/' || feed_id AS path, size_bytes,
+            CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' bytes' WHEN size_bytes < 1048576 THEN printf('%.2f KB', size_bytes / 1024)
+                 ELSE printf('%.2f MB', size_bytes / 1048576) END AS size_human,
+            mode, 'Feed ' || feed_id AS description, strftime(make_timestamp((1700000000 + size_bytes) * 1000000), '%Y-%m-%d %H:%M UTC') AS built,
+            feed_id = 'net' AS is_auto_updated, ip, literal, "glob", total
+          FROM (SELECT feed_id, CAST(sum(length(entry)) AS BIGINT) AS size_bytes, min(mode) AS mode, count(*) FILTER (kind = 'ip') AS ip,
+                       count(*) FILTER (kind = 'literal') AS literal, count(*) FILTER (kind = 'glob') AS "glob", count(*) AS total FROM indicators GROUP BY feed_id)""",
+    ),
+    "feed_file": sql(
+        HOSTS, select="""SELECT 'hosts' AS feed_id, host AS entry, 'literal' AS kind, lower(host) AS match_key,
+          '{"page":"' || CAST(page_id AS VARCHAR) || '"}' AS data, count(*) OVER () AS entries FROM hosts""",
+    ),
+    "manifest_file": """
+      SELECT 'stable' AS channel, 'feed-' || CAST(doc_id AS VARCHAR) AS name, lang AS version, 'https://f/' || CAST(doc_id AS VARCHAR) AS url,
+             sha256(text) AS sha256, n_chars AS size FROM documents, range(2)""",
     "alerts": sql(
         LINES_DOCUMENTS, HOSTS, indicators("derived_ip", "derived_text"), candidates("lines_documents"), hits("candidates", PLACE),
         select="SELECT 'Intelligence Hit: ' || match_type AS title, 'Matched: ' || matched_text || chr(10) || 'Source: ' || source AS body FROM hits",
@@ -375,6 +440,9 @@ ORACLE = {
       WHEN 2 THEN strftime(ts, '%H:%M:%S') WHEN 3 THEN strftime(ts - INTERVAL 2 HOUR, '%b %d, %H:%M:%S') ELSE event_type END AS shown FROM events""",
     "flatten_props": """SELECT event_id, CAST(0 AS INTEGER) AS pos, json_keys(props)[1] AS key,
       json_extract_string(props, '$.' || json_keys(props)[1]) AS value_text FROM events""",
+    "flatten_deep": """
+      SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'deep' AS key,
+             repeat('[[, ', doc_id % 5 + 5) || CAST(doc_id AS VARCHAR) || repeat(']', doc_id % 5 + 5) AS value_text FROM documents""",
     "flatten_nested": """
       SELECT doc_id, CAST(pos AS INTEGER) AS pos, key, value_text FROM (
         SELECT doc_id, 0 AS pos, 'a' AS key, lang AS value_text FROM documents WHERE doc_id % 4 = 0

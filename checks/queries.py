@@ -5,7 +5,9 @@ Arrays are joined to text and times rendered, so that results compare by value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrace import functions as S
@@ -16,11 +18,14 @@ from sigtrace.operators import indicators as I
 from sigtrace.operators import lines as L
 from sigtrace.operators.extract import extract
 from sigtrace.plans.hits import lookup, match_candidates, scan
-from sigtrace.operators.staging import stage
-from sigtrace.plans.update import replace_auto_updated
+from sigtrace.operators.staging import shared_folder, stage
+from sigtrace.plans.update import current_feeds, current_indicators, publish_feed, replace_auto_updated, save_feeds, unload_feeds
+from sigtrace.schemas import MANIFEST
 from sigtrace.sources import artifacts as A
 from sigtrace.sources import catalog as K
-from sigtrace.sources.logs import name_matches
+from sigtrace.sources.feeds import indicators_from, load_feed
+from sigtrace.sources.logs import name_matches, read_log_lines, read_log_stream
+from sigtrace.streaming.scan import scan_stream, stored_hits
 
 from . import views as V
 
@@ -70,7 +75,21 @@ def lines_documents(spark, sf_dir):
 
 @query
 def tail_lines(spark, sf_dir):
-    return L.tail_lines(V.lines_documents(spark, sf_dir), 3)
+    return L.tail_lines(V.lines_documents(spark, sf_dir, keep_empty=True), 3)
+
+
+@query
+def tail_lines_long(spark, sf_dir):
+    """The last 2,000 lines of each source's log, empty ones included."""
+    lines = V.lines_files(read_log_lines(spark, V.log_files(spark, sf_dir), "m", recursive=True, keep_empty=True))
+    return L.tail_lines(lines, 2000).select("path", F.md5(F.col("tail").cast("binary")).alias("tail_md5"))
+
+
+@query
+def read_logs(spark, sf_dir):
+    """Numbered lines of log files, one file per source."""
+    lines = V.lines_files(read_log_lines(spark, V.log_files(spark, sf_dir), "m", recursive=True))
+    return lines.select("path", "line_number", "line")
 
 
 @query
@@ -129,6 +148,38 @@ def extract_wallets(spark, sf_dir):
     return items(spark, sf_dir, _composed(spark, sf_dir, line), P.BITCOIN_TYPE, P.ETHEREUM_TYPE)
 
 
+@query
+def extract_ipv6_prefixed(spark, sf_dir):
+    """Addresses behind and before words that a colon joins to them."""
+    digest = F.md5(F.col("text").cast("binary"))
+    groups = [F.substring(digest, 4 * i + 1, 4) for i in range(8)]
+    full = F.concat_ws(":", *groups)
+    line = F.concat(
+        F.lit("src:"), full, F.lit(" addr:"), groups[0], F.lit("::"), groups[1], F.lit(", x:::"), groups[2],
+        F.lit(" "), full, F.lit(":port std::cout at:12:30"),
+    )
+    return items(spark, sf_dir, _composed(spark, sf_dir, line), P.IPV6_TYPE).select("path", "match_type", "matched_text")
+
+
+@query
+def extract_domain_underscore(spark, sf_dir):
+    host = V.hosts(spark, sf_dir).select(
+        F.col("page_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("line_number"),
+        F.concat(F.lit("to _x_"), F.col("page_id"), F.lit("."), F.col("host"), F.lit(". or "), F.col("host"), F.lit("_no")).alias("line"),
+    )
+    return items(spark, sf_dir, host, P.DOMAIN_TYPE).select("path", "match_type", "matched_text")
+
+
+@query
+def extract_long_runs(spark, sf_dir):
+    """Runs with too many labels or too long a first part beside good ones."""
+    doc = F.col("doc_id").cast("string")
+    line = F.concat(
+        F.repeat(F.lit("a."), 140), F.lit("com "), F.repeat(F.lit("l"), 70), F.lit("@x.com ok"), doc, F.lit(".com b"), doc, F.lit("@y.org."),
+    )
+    return items(spark, sf_dir, _composed(spark, sf_dir, line), P.DOMAIN_TYPE, P.EMAIL_TYPE).select("path", "match_type", "matched_text")
+
+
 def _dotted():
     return F.concat_ws(".", F.lit("10"), F.col("doc_id") % 256, F.col("n_chars") % 256, F.lit("7"))
 
@@ -249,6 +300,97 @@ def scan_pages(spark, sf_dir):
     return shown(scan(V.lines_pages(spark, sf_dir), feed(spark, sf_dir, "globs", "derived_globs"), V.tlds(spark)))
 
 
+@query
+def scan_brand_globs(spark, sf_dir):
+    """A glob ``*<name>*.<tld>`` for every name met, against every host."""
+    label = lambda n: F.substring_index(F.substring_index("host", ".", n), ".", 1)
+    named = V.hosts(spark, sf_dir).where(F.length(label(-3)) > 2)
+    entries = named.select(
+        F.lit("brands").alias("feed_id"), F.lit(P.CASE_SENSITIVE).alias("mode"),
+        F.concat(F.lit("*"), label(-3), F.lit("*."), F.substring_index("host", ".", -1)).alias("entry"), F.lit(None).cast("string").alias("data"),
+    ).distinct()
+    hits = lookup(host_queries(spark, sf_dir), stage(indicators_from(entries)))
+    return hits.select("matched_text", F.array_join("matched_indicators", ", ").alias("indicators"))
+
+
+@query
+def scan_two_monitors(spark, sf_dir):
+    """Two monitors read the same page addresses: each gets its own hits."""
+    lines = V.lines_pages(spark, sf_dir)
+    both = lines.withColumn("monitor_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return shown(scan(both, feed(spark, sf_dir, "globs", "derived_text"), V.tlds(spark), keep=["monitor_id"]), "monitor_id")
+
+
+@query
+def scan_html(spark, sf_dir):
+    """Hits in the lines of every raw page."""
+    html = V.table(spark, sf_dir, "pages").select(
+        F.lit("html").alias("monitor_id"), F.lit("html").alias("source"), F.col("page_id").cast("string").alias("path"), "html"
+    )
+    hits = scan(L.split_lines(html, "html"), feed(spark, sf_dir, "derived_text"), V.tlds(spark), keep=["path", "line_number", "pos"])
+    return shown(hits, "path", "line_number", "pos")
+
+
+@query
+def scan_logs_stream(spark, sf_dir):
+    """Hits stored by a stream that reads the log files of all sources, in three batches of a restartable query."""
+    logs, root = V.log_files(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    publish_feed(feed(spark, sf_dir, "derived_text"), current_feeds(spark, root), "text", "1", root)
+    stream = read_log_stream(spark, f"{logs}/source=*", "m", max_files=7)
+    running = scan_stream(
+        stream, lambda: current_indicators(spark, root), V.tlds(spark), f"{root}/out", f"{root}/state", {"availableNow": True}
+    )
+    running.awaitTermination()
+    return stored_hits(spark, f"{root}/out").select(
+        "matched_text", "match_type", "database_id", F.array_join("matched_indicators", ", ").alias("indicators"), F.array_join("data", ", ").alias("payload")
+    )
+
+
+@query
+def publish_unload(spark, sf_dir):
+    """The store after a publish, the unloading of the only feed and another publish."""
+    root = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    first = publish_feed(feed(spark, sf_dir, "derived_text"), current_feeds(spark, root), "derived_text", "1", root)
+    save_feeds(unload_feeds(first, first.select("feed_id")), root)
+    publish_feed(feed(spark, sf_dir, "derived_globs"), current_feeds(spark, root), "derived_globs", "1", root)
+    return current_indicators(spark, root).select("feed_id", "pattern_id", "entry", "kind", "data")
+
+
+@query
+def feed_list(spark, sf_dir):
+    """The list of loaded feeds with size, description, build date and counts."""
+    loaded = feed(spark, sf_dir, "net", "derived_text", "derived_globs")
+    rows = loaded.groupBy("feed_id").agg(F.sum(F.length("entry")).alias("size_bytes"), F.min("mode").alias("mode"))
+    feeds = rows.select(
+        "feed_id", F.concat(F.lit("/feeds/"), "feed_id").alias("path"), "size_bytes", "mode",
+        F.create_map(F.lit("de"), F.lit("Liste"), F.lit("en"), F.concat(F.lit("Feed "), "feed_id")).alias("description"),
+        (F.lit(1_700_000_000) + F.col("size_bytes")).alias("build_epoch"), (F.col("feed_id") == "net").alias("is_auto_updated"),
+    )
+    return C.feed_summary(feeds, loaded)
+
+
+@query
+def feed_file(spark, sf_dir):
+    """A feed file of every page's host, read back; pattern numbers are unique and gapless."""
+    path = f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    V.hosts(spark, sf_dir).select(F.col("host").alias("entry"), F.col("page_id").cast("string").alias("page")).write.option("header", True).csv(path)
+    loaded = load_feed(spark, path, "hosts", "CaseInsensitive")
+    last = F.max("pattern_id").over(Window.partitionBy("feed_id"))
+    return loaded.select("feed_id", "entry", "kind", "match_key", "data", (last + 1).alias("entries"))
+
+
+@query
+def manifest_file(spark, sf_dir):
+    """A manifest file per document, written as JSON and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    full = F.struct(F.concat(F.lit("https://f/"), "doc_id").alias("url"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("size"))
+    entry = F.struct(F.concat(F.lit("feed-"), "doc_id").alias("name"), F.col("lang").alias("version"), F.lit(1).alias("format_version"), full.alias("full"))
+    docs = V.table(spark, sf_dir, "documents").select(F.lit("stable").alias("channel"), F.array(entry, entry).alias("databases"), F.lit("2024").alias("generated_at"))
+    docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    manifest = spark.read.schema(MANIFEST).json(path)
+    return A.explode_manifest(manifest).select("channel", "name", "version", "url", "sha256", "size")
+
+
 @query
 def alerts(spark, sf_dir):
     found = feed(spark, sf_dir, "derived_ip", "derived_text")
@@ -440,6 +582,16 @@ def flatten_nested(spark, sf_dir):
     )
 
 
+@query
+def flatten_deep(spark, sf_dir):
+    """Arrays nested five to nine levels deep, with brackets inside strings."""
+    doc, levels = F.col("doc_id").cast("string"), (F.col("doc_id") % 5 + 5).cast("int")
+    text = F.concat(F.lit('{"deep": '), F.repeat(F.lit('["[", '), levels), doc, F.repeat(F.lit("]"), levels), F.lit("}"))
+    return S.flatten_payload(V.table(spark, sf_dir, "documents").select("doc_id", text.alias("payload")), "payload").select(
+        "doc_id", "pos", "key", "value_text"
+    )
+
+
 @query
 def sha256_docs(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", S.sha256_hex(F.col("text")).alias("sha256"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions import patterns as P
 from sigtrace.operators.extract import extract
 from sigtrace.operators.lines import split_lines
+from sigtrace.operators.staging import shared_folder
 from sigtrace.sources.feeds import indicators_from
 
 EPOCH = "2024-01-01 00:00:00"
@@ -29,7 +32,7 @@ def tlds(spark: SparkSession) -> DataFrame:
     return constant(spark, "tld", TLDS)
 
 
-def lines_documents(spark, sf_dir) -> DataFrame:
+def lines_documents(spark, sf_dir, keep_empty: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("monitor_id"),
         "source",
@@ -37,7 +40,21 @@ def lines_documents(spark, sf_dir) -> DataFrame:
         (F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id"))).alias("event_ts"),
         "text",
     )
-    return split_lines(rows, "text")
+    return split_lines(rows, "text", keep_empty)
+
+
+def log_files(spark, sf_dir) -> str:
+    """Every document's text as lines of a log file, one file per source; returns the folder."""
+    folder = f"{shared_folder(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    sources = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("value"))
+    one_each = sources.repartition(F.col("source")).sortWithinPartitions("source", "doc_id")
+    one_each.select("source", "value").write.partitionBy("source").text(folder)
+    return folder
+
+
+def lines_files(lines: DataFrame) -> DataFrame:
+    """Lines read back from ``log_files``, with the source's name in place of the file's."""
+    return lines.withColumn("path", F.regexp_extract("path", "source=([^/]*)/", 1))
 
 
 def lines_pages(spark, sf_dir) -> DataFrame:

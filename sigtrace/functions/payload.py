@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ARRAY_DEPTH = 3
+#: Array levels shown of a stream, whose depth cannot be asked for beforehand.
+STREAM_DEPTH = 16
+
+
+def array_depth(json: Column) -> Column:
+    """How deep arrays of a JSON text are nested."""
+    marks = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]"]++', "")
+
+    def step(s: Column, mark: Column) -> Column:
+        now = s["now"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(now, s["most"]).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(marks, ""), start, step)["most"]
 
 
 def _number_text(text: Column) -> Column:
@@ -13,11 +26,12 @@ def _number_text(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("E"), F.lit("e")), r"\.0e", "e")
 
 
-def variant_text(v: Column, depth: int = ARRAY_DEPTH) -> Column:
+def variant_text(v: Column, depth: int) -> Column:
     """One metadata value for display.
 
     Strings as they are, numbers and booleans as text, ``null``, arrays as
-    ``[a, b]`` (nested to ``depth``, raw JSON below), objects as ``[Object]``.
+    ``[a, b]``, objects as ``[Object]``.  ``depth`` is that of the data, see
+    ``array_depth``; below it arrays would stay raw JSON.
     """
     kind = F.schema_of_variant(v)
     scalar = (
@@ -44,8 +58,14 @@ def flatten_payload(df: DataFrame, col: str) -> DataFrame:
     """One row per key of the JSON object in ``col``: ``pos``, ``key``, ``value_text``.
 
     Keys come in sorted order.  Text that is JSON but no object, and text that is
-    no JSON, gives one row with a null key and the whole value.
+    no JSON, gives one row with a null key and the whole value.  One pass over the
+    data finds how deep its arrays are nested.
     """
+    if df.isStreaming:
+        depth = STREAM_DEPTH
+    else:
+        nested = F.when(F.try_parse_json(F.col(col)).isNotNull(), array_depth(F.col(col)))
+        depth = df.agg(F.max(nested)).first()[0] or 0
     parsed = df.withColumn("__v", F.try_parse_json(F.col(col)))
     is_object = F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT<"))
     entries = F.when(is_object, F.try_variant_get("__v", "$", "map<string,variant>"))
@@ -56,7 +76,7 @@ def flatten_payload(df: DataFrame, col: str) -> DataFrame:
         .select("*", F.posexplode(F.coalesce(F.when(is_object, ordered), whole)).alias("pos", "key"))
     )
     value = F.when(
-        F.col("key").isNotNull(), variant_text(F.element_at(F.col("__m"), F.col("key")))
+        F.col("key").isNotNull(), variant_text(F.element_at(F.col("__m"), F.col("key")), depth)
     ).otherwise(F.coalesce(F.to_json("__v"), F.col(col)))
     return exploded.withColumn("value_text", value).drop("__v", "__m")
 

@@ -133,10 +133,12 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
 
 def _with_known_tld(rows: DataFrame, tlds: DataFrame) -> DataFrame:
     known = tlds.select(F.lower("tld").alias("__last"), F.lit(True).alias("__known")).distinct()
-    if has_at_most(tlds, 100_000):
-        known = F.broadcast(known)
     is_domain = F.col("match_type") == P.DOMAIN_TYPE
     last_label = F.when(is_domain, F.lower(F.substring_index("matched_text", ".", -1)))
+    if has_at_most(known, 100_000):
+        known = F.broadcast(known)
+    else:  # others spread over all tasks under keys that no table has; a hot label can be split at run time
+        last_label = F.coalesce(last_label, F.concat(F.lit(" "), "matched_text"))
     return (
         rows.withColumn("__last", last_label)
         .join(known, "__last", "left")

@@ -37,7 +37,7 @@ def recent_hits(*feeds: DataFrame, n: int = RECENT) -> DataFrame:
     """
     every = _union(feeds)
     newest = every.groupBy("id").agg(F.max("timestamp").alias("timestamp")).orderBy(F.desc("timestamp"), "id").limit(n)
-    wanted = every.join(F.broadcast(newest), ["id", "timestamp"], "left_semi") if n <= 100_000 else every
+    wanted = every.join(F.broadcast(newest) if n <= 100_000 else newest, ["id", "timestamp"], "left_semi")
     return dedupe_hits(wanted).orderBy(F.desc("timestamp"), "id").limit(n)
 
 

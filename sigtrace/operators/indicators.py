@@ -36,6 +36,8 @@ from .sizing import DEFAULT_LIMITS, Limits, broadcast_if_small
 MAX_LABELS = 16
 MAX_ANCHOR = 32
 MAX_GRAM = 3
+#: Letters of host names from common to rare; what is not listed is rare.
+COMMON = ".w-eoaitnsrclmhudpgbkyvf"
 
 
 def entry_kind(entry: Column) -> Column:
@@ -52,28 +54,53 @@ def fold(text: Column, mode: Column) -> Column:
     return F.when(mode == P.CASE_INSENSITIVE, F.lower(text)).otherwise(lookup_key(text))
 
 
-def _longest(runs: Column) -> Column:
-    return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("text"))))
+def _rarest_gram(text: Column) -> Column:
+    """The ``MAX_GRAM`` neighbouring characters of a text that are rarest by ``COMMON``, the first of equals."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - MAX_GRAM + 1, F.lit(1)))
+
+    def scored(i: Column) -> Column:
+        piece = text.substr(i, F.lit(MAX_GRAM))
+        rarity = sum((_rarity(F.substring(piece, k, 1)) for k in range(1, MAX_GRAM + 1)), F.lit(0))
+        return F.struct(rarity.alias("rarity"), (-i).alias("first"), piece.alias("text"))
+
+    return F.array_max(F.transform(starts, scored))["text"]
+
+
+def _rarity(character: Column) -> Column:
+    place = F.position(character, F.lit(COMMON))
+    return F.when(character == "", 0).when(place == 0, len(COMMON) + 1).otherwise(place)
+
+
+def _own_length(text: Column) -> Column:
+    """Characters of an end beyond a leading ``www.`` and a bare last label, which thousands of names share."""
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?i)^www\.", ""), r"\.[^.]*$", "")
+    return F.length(rest)
 
 
 def _glob_anchor(glob: Column, case: Column) -> Column:
-    """(tag, key) of the part of a glob that singles out its matches best."""
+    """(tag, key) of the part of a glob that singles out its matches best.
+
+    A literal end counts by what it has beyond ``www.`` and a last label; where that
+    is less than a gram, the rarest gram of the run with most characters of its own is
+    the key, and only globs without such a run rest on a weak end.
+    """
     runs = F.col("__runs")
     head, tail = F.left(F.get(runs, F.lit(0)), F.lit(MAX_ANCHOR)), F.right(F.element_at(runs, -1), F.lit(MAX_ANCHOR))
-    inner = _longest(runs)
-    gram = F.left(inner["text"], F.lit(MAX_GRAM))
+    inner = F.array_max(F.transform(runs, lambda r: F.struct(_own_length(r).alias("own"), F.length(r).alias("n"), r.alias("text"))))
+    gram = _rarest_gram(inner["text"])
     labels = F.size(F.split("suffix_key", r"\."))
 
     def anchor(letter: str, size: Column | None, key: Column) -> Column:
         parts = [F.lit(letter), case] + ([size.cast("string")] if size is not None else [])
         return F.struct(F.concat(*parts).alias("tag"), key.alias("key"))
 
-    at_end = F.greatest(F.length(head), F.length(tail))
-    ends_suffice = at_end >= F.least(inner["n"], F.lit(MAX_GRAM))
+    own = F.greatest(_own_length(head), _own_length(tail))
+    has_gram = (inner["n"] >= MAX_GRAM) & (inner["own"] > own)
+    ends_suffice = ((own >= MAX_GRAM) | ~has_gram) & (F.greatest(F.length(head), F.length(tail)) > 0)
     return (
         F.when(labels <= MAX_LABELS, anchor("L", labels, F.col("suffix_key")))
         .when(inner["n"] == 0, anchor("A", None, F.lit("")))
-        .when(ends_suffice & (F.length(head) >= F.length(tail)), anchor("P", F.length(head), head))
+        .when(ends_suffice & ((_own_length(head) > _own_length(tail)) | (F.length(tail) == 0)), anchor("P", F.length(head), head))
         .when(ends_suffice, anchor("S", F.length(tail), tail))
         .otherwise(anchor("G", F.length(gram), gram))
     )

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import broadcast_if_small
 
-def split_lines(texts: DataFrame, column: str) -> DataFrame:
-    """One row per non-empty line of a text column: ``line_number`` (from 1) and ``line``.
 
-    Only ``\\n`` ends a line.  Empty lines are dropped after numbering.
+def split_lines(texts: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
+    """One row per line of a text column: ``line_number`` (from 1) and ``line``.
+
+    Only ``\\n`` ends a line; what follows the last one is a line if it is not empty.
+    Empty lines are dropped after numbering unless asked for.
     """
     rest = [c for c in texts.columns if c != column]
-    lines = F.posexplode(F.split(column, "\n", -1)).alias("__i", "line")
-    return (
-        texts.select(*rest, lines)
-        .where(F.length("line") > 0)
-        .select(*rest, (F.col("__i") + 1).cast("bigint").alias("line_number"), "line")
-    )
+    pieces = F.split(column, "\n", -1)
+    whole = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    lines = F.posexplode(whole).alias("__i", "line")
+    numbered = texts.select(*rest, lines).select(*rest, (F.col("__i") + 1).cast("bigint").alias("line_number"), "line")
+    return numbered if keep_empty else numbered.where(F.length("line") > 0)
 
 
 def tail_lines(lines: DataFrame, n: int) -> DataFrame:
     """The last ``n`` lines of each path joined by newlines: ``path``, ``tail``.
 
-    The rank filter is applied on each input partition before the shuffle, so a
-    long file sends at most ``n`` lines per task.
+    ``lines`` are numbered without gaps, empty lines included.  The last number of
+    each path is found first, so only lines of the result are shuffled, for any
+    ``n`` and however long a file is; no sort of a file takes place.
     """
-    from_end = Window.partitionBy("path").orderBy(F.desc("line_number"))
-    last = lines.select("path", "line_number", "line").withColumn("__r", F.row_number().over(from_end)).where(F.col("__r") <= n)
+    last = broadcast_if_small(lines.groupBy("path").agg(F.max("line_number").alias("__last")), 1_000_000)
+    kept = lines.join(last, "path").where(F.col("line_number") > F.col("__last") - n)
     ordered = F.sort_array(F.collect_list(F.struct("line_number", "line")))
-    return last.groupBy("path").agg(F.array_join(ordered["line"], "\n").alias("tail"))
+    return kept.groupBy("path").agg(F.array_join(ordered["line"], "\n").alias("tail"))

@@ -86,7 +86,12 @@ def pin_splits(spark) -> None:
 
 
 def split_bound(df: DataFrame) -> int:
-    """Upper bound of the number of splits of a file-reading frame, from sizes alone."""
-    files = len(df.inputFiles())
-    smallest_split = 1024 * 1024
-    return files + plan_bytes(df) // smallest_split
+    """Upper bound of the number of splits of a file-reading frame, from sizes and the session's split size.
+
+    100 TB in splits of 128 MiB are 800,000, so the table of splits stays small.
+    """
+    spark, total = df.sparkSession, plan_bytes(df)
+    size = lambda key: int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    cores = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    split = min(size("spark.sql.files.maxPartitionBytes"), max(size("spark.sql.files.openCostInBytes"), total // cores))
+    return len(df.inputFiles()) + total // max(1, split)

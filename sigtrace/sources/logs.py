@@ -42,8 +42,9 @@ def read_log_lines(
     pattern: str = "*",
     capture: bool = False,
     numbered: bool = True,
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Non-empty lines of all files under ``path``.
+    """Lines of all files under ``path``, without empty ones unless asked for.
 
     Lines end at ``\\n`` only.  ``line_number`` counts from 1 with empty lines
     included; numbering reads the input once more (without shuffling it).  With
@@ -63,7 +64,8 @@ def read_log_lines(
         )
     )
     rows = number_file_rows(text, "line_number") if numbered else text.withColumn("line_number", F.monotonically_increasing_id())
-    return _labelled(rows, monitor_id, capture, "line_number").where(F.length("line") > 0)
+    labelled = _labelled(rows, monitor_id, capture, "line_number")
+    return labelled if keep_empty else labelled.where(F.length("line") > 0)
 
 
 def read_log_stream(

@@ -120,3 +120,23 @@ def test_plans_hold_no_cross_product(spark):
     assert "BroadcastHashJoin [probe" in plan and "SortMergeJoin" not in plan
     before_grouping = plan[plan.index("BroadcastHashJoin [probe"):]
     assert "hashpartitioning(source" not in before_grouping and "hashpartitioning(lookup_key" not in before_grouping
+
+
+def test_brand_globs_do_not_meet_every_name_of_a_domain(spark):
+    """Joined pairs for a candidate stay few when thousands of globs share ``.com`` and ``www.``."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sigtrace.operators.indicators import profile_indicators
+    from sigtrace.operators.match import _probed
+
+    rng = random.Random(1)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    globs = [f"*{name()}*.com" for _ in range(1000)] + [f"www.*{name()}*" for _ in range(1000)] + [f"*-{name()}-*.net" for _ in range(500)]
+    indicators = feed(spark, globs)
+    names = spark.createDataFrame([(f"www.{name()}.com",) for _ in range(300)], "lookup_key string").select(
+        "lookup_key", F.lit(None).cast("int").alias("family"), F.lit(None).cast("string").alias("ip_bits")
+    )
+    pairs = _probed(names, profile_indicators(indicators)).join(indicators, "probe").count()
+    assert pairs < 10 * 300

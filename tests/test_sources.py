@@ -44,7 +44,7 @@ def test_load_feed_classifies_and_numbers(spark, feed_file):
             ("2001:db8::/32", "ip", 3, "2001:db8::/32", "N6/32"),
             ("evil.com", "literal", 0, "evil.com", "Ei"),
             ("*.evil.com", "glob", 1, "*.evil.com", "Li2"),
-            ("login?.bad.org", "glob", 2, "login?.bad.org", "Si8"),
+            ("login?.bad.org", "glob", 2, "login?.bad.org", "Pi5"),
             ("[ab]*.net", "glob", 3, "[ab]*.net", "Si4"),
             ("10.0.0.0/33", "literal", 4, "10.0.0.0/33", "Ei"),
             ("EVIL.org", "literal", 5, "evil.org", "Ei"),
@@ -107,9 +107,11 @@ def test_split_and_tail(spark):
     texts = spark.createDataFrame([("p", "a\r\n\nb\nc"), ("q", ""), ("r", "x\n")], "path string, t string")
     lines = split_lines(texts, "t")
     assert rows(lines, "path", "line_number", "line") == [("p", 1, "a\r"), ("p", 3, "b"), ("p", 4, "c"), ("r", 1, "x")]
-    tails = tail_lines(lines, 2)
-    assert rows(tails, "path", "tail") == [("p", "b\nc"), ("r", "x")]
-    assert "WindowGroupLimit" in tails._jdf.queryExecution().executedPlan().toString()
+    whole = split_lines(texts, "t", keep_empty=True)
+    assert rows(tail_lines(whole, 2), "path", "tail") == [("p", "b\nc"), ("r", "x")]
+    assert rows(tail_lines(whole, 3), "path", "tail") == [("p", "\nb\nc"), ("r", "x")]
+    for n in (3, 5000):  # neither a sort of whole files nor another plan for many lines
+        assert "Window" not in tail_lines(whole, n)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize(
