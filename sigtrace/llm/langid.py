@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigtrace.operators.staging import stage
+
 from .rows import chunks, only, original, split, with_columns
 
 UNKNOWN = "und"
@@ -204,13 +206,9 @@ def sample(documents: DataFrame, per_language: int = DOCUMENTS) -> list[tuple[st
                         stretches.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(stretches, pa.list_(pa.string()))], names=["lang", "words"])
 
-    rows = chosen.mapInArrow(cut, "lang string, words array<string>").toLocalIterator()
-    held: dict[str, list[list[str]]] = {}
-    bound = 2 * per_language * FRAGMENTS
-    for lang, part in rows:  # equal texts share a hash, so copies could exceed the expectation
-        if len(kept := held.setdefault(lang, [])) < bound:
-            kept.append(part)
-    return sorted((lang, part) for lang, parts in held.items() for part in parts)
+    # copies of a text share its hash and would exceed the bound together: each stretch counts once
+    rows = stage(chosen.mapInArrow(cut, "lang string, words array<string>").distinct())
+    return sorted((lang, list(part)) for lang, part in rows.collect())
 
 
 def train(stretches: list[tuple[str, list[str]]], seed: int = 7) -> Field:

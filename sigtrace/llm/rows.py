@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +47,10 @@ def with_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                made = compute(*(batch.column(i).to_pylist() for i in places))
-                arrays = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+                for part in pieces(batch, places[0]):
+                    made = compute(*(part.column(i).to_pylist() for i in places))
+                    arrays = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)
         finally:
             if finish:
                 finish()
@@ -55,6 +58,17 @@ def with_columns(
     return df.toDF(*names[:width]).mapInArrow(run, schema)
 
 
+def pieces(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``limit`` bytes in the column ``text``, which bounds what a task holds at once."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        held = before[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(before, held + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def split(df: DataFrame, names: list[str], wanted: list[str]) -> DataFrame:
     """Gives the result of ``with_columns`` names again: ``names`` are the original
     columns followed by the appended ones, ``wanted`` those to keep (the last of a name)."""
