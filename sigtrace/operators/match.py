@@ -3,9 +3,11 @@
 A candidate produces the probes that the feed's tags call for (see
 ``indicators``), meets the indicators that share one, and keeps those whose glob
 really matches.  When the indicators fit the broadcast limits the candidates are
-never shuffled, only the matches are.  Larger indicator tables are joined by
+never shuffled, only the matches are.  Of larger tables, which are large by their
+literals as a rule, networks and globs are still broadcast; the literals are joined by
 shuffle with the *distinct* texts, and the outcome is joined back to the
-occurrences; both joins are salted.  The candidates are then needed several
+occurrences; both joins are salted.  Only where networks and globs alone exceed
+the limits does everything go that way.  The candidates are then needed several
 times, so they are written to the shared folder instead of extracted again.
 """
 
@@ -99,6 +101,16 @@ def _probed(candidates: DataFrame, profile: FeedProfile) -> DataFrame:
     return candidates.select("*", F.explode(keys).alias("probe"))
 
 
+def _literal_matches(candidates: DataFrame, literals: DataFrame, tags: tuple[str, ...], limits: Limits) -> DataFrame:
+    """Candidates beside the literals they equal; distinct texts meet the literals, occurrences the outcome."""
+    texts = candidates.where(F.col("family").isNull())
+    keys = probes(tags, F.col("lookup_key"), F.col("family"), F.col("ip_bits"))
+    distinct = texts.select("lookup_key", "family", "ip_bits").distinct().select("lookup_key", F.explode(keys).alias("probe"))
+    known = salted_join(distinct, literals, "probe", ["lookup_key"], limits).drop("probe")
+    place = [c for c in candidates.columns if c not in ("lookup_key", "family", "ip_bits", "line")]
+    return salted_join(texts, known, "lookup_key", place or ["lookup_key"], limits)
+
+
 def match(
     candidates: DataFrame,
     indicators: DataFrame,
@@ -120,6 +132,15 @@ def match(
 
     text = ["lookup_key", "family", "ip_bits"]
     candidates = stage(candidates)
+    is_literal = F.startswith("probe_tag", F.lit("E"))
+    others = side.where(~is_literal)
+    small = profile_indicators(indicators.where(~is_literal))
+    if small.fits(limits):
+        near = _confirmed(_probed(candidates, small).join(F.broadcast(others), "probe"))
+        tags = tuple(t for t in profile.tags if t.startswith("E"))
+        far = _literal_matches(candidates, side.where(is_literal), tags, limits)
+        columns = [*candidates.columns, *(c for c in _INDICATOR_SIDE if c != "probe")]
+        return _grouped(near.select(*columns).unionByName(far.select(*columns)), candidates.columns)
     distinct = candidates.select(*text).distinct()
     joined = salted_join(_probed(distinct, profile), side, "probe", ["lookup_key"], limits)
     known = _grouped(_confirmed(joined), text).select("lookup_key", *FOUND)

@@ -140,3 +140,27 @@ def test_brand_globs_do_not_meet_every_name_of_a_domain(spark):
     )
     pairs = _probed(names, profile_indicators(indicators)).join(indicators, "probe").count()
     assert pairs < 10 * 300
+
+
+def test_only_literals_go_through_the_shuffle(spark):
+    """A feed that is too large by its literals: networks and globs stay broadcast, results are the same."""
+    entries = [f"n{i}.com" for i in range(200)] + ["10.0.0.0/8", "*.evil.com", "a*", "N7.COM"]
+    indicators = feed(spark, entries, mode=CASE_INSENSITIVE)
+    text = " ".join([f"n{i}.com" for i in range(0, 300, 3)] + ["10.1.2.3", "x.evil.com", "a.org", "n7.com", "n7.com"])
+    df = lines(spark, text)
+    columns = ("id", "matched_text", "match_type", "matched_indicators", "data")
+    limits = Limits(broadcast_rows=10)
+    got = scan(df, indicators, tlds(spark), limits=limits)
+    assert rows(got, *columns) == rows(scan(df, indicators, tlds(spark)), *columns)
+    assert rows(scan(df, indicators, tlds(spark), limits=SHUFFLE), *columns) == rows(got, *columns)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan  # networks and globs
+
+
+def test_a_feed_without_literals_or_without_others(spark):
+    for entries in (["10.0.0.0/8", "*.evil.com"] * 1, [f"n{i}.com" for i in range(30)]):
+        df = lines(spark, "10.1.1.1 x.evil.com n3.com n3.com")
+        indicators = feed(spark, entries)
+        want = rows(scan(df, indicators, tlds(spark)), "id", "matched_text")
+        for n in (0, 1, 2, 20):
+            assert rows(scan(df, indicators, tlds(spark), limits=Limits(broadcast_rows=n)), "id", "matched_text") == want
