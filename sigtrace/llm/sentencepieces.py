@@ -60,7 +60,8 @@ class PieceCodec:
         self.number = [f"{i},".encode() for i in range(size)]
         self.spelled = [None if i in special else s.replace(SPACE, " ") for i, s in enumerate(self.pieces)]
         self.coded: dict[str, bytes] = {}
-        self.plain: dict[str, str] = {}
+        #: Decoded units, of those that do not decode to their own characters.
+        self.altered: dict[str, str] = {}
         self.chars = 0
 
     def marked(self, text: str) -> str:
@@ -151,11 +152,18 @@ class PieceCodec:
             if ids != (self.lone(unit) if unit == SPACE else expected if lead else expected[2:]):
                 raise ValueError(f"ids of {unit!r} differ from the library's")
             self.coded[unit] = b"".join(map(number, ids))
-            self.plain[unit] = self.spell(ids)
+            if (text := self.spell(ids)) != unit.replace(SPACE, " "):
+                self.altered[unit] = text
             self.chars += len(unit)
 
+    def decoded(self, units: list[str]) -> str:
+        """Text of the ids of units, each decoded when it was learned."""
+        if not self.altered.keys().isdisjoint(units):
+            units = [self.altered.get(u, u) for u in units]
+        return "".join(units).replace(SPACE, " ").removeprefix(" ")
+
     def forget(self) -> None:
-        self.coded, self.plain, self.chars = {}, {}, 0
+        self.coded, self.altered, self.chars = {}, {}, 0
 
     def lone(self, unit: str) -> list[int]:
         """The library encodes the empty text to nothing; before a line break the space shows."""
@@ -169,9 +177,8 @@ class PieceCodec:
                 self.forget()
             parts = [self.units(self.marked(t)) if t else [] for t in texts[start:end]]
             self.learn(set().union(*parts))
-            of, back = self.coded.__getitem__, self.plain.__getitem__
-            coded += [b"".join(map(of, p))[:-1] for p in parts]
-            plain += ["".join(map(back, p)).removeprefix(" ") for p in parts]
+            coded += [b"".join(map(self.coded.__getitem__, p))[:-1] for p in parts]
+            plain += [self.decoded(p) for p in parts]
         first = next((i for i, t in enumerate(texts) if t), None)
         if first is not None:
             ids = self.library.encode(texts[first])
