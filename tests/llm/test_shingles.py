@@ -1,0 +1,63 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from sigtrace.llm import shingles, simhash
+
+from .helpers import full_documents
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def alike(a, b):
+    a, b = brute_set(a), brute_set(b)
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def texts(rng):
+    out = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 300))]
+        out.append(" ".join(words))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.1):
+            out.append(" ".join(f"x{rng.randrange(3000)}" if rng.random() < share else w for w in words))
+    return out
+
+
+@pytest.mark.parametrize("part", [1024, 2])
+def test_one_of_each_group_of_similar_texts_stays(spark, monkeypatch, part):
+    monkeypatch.setattr(shingles, "PART", part)
+    many = [*texts(random.Random(3)), None, "", " \t", "few words", "Few  words", "few other words"]
+    root = list(range(len(many)))
+    for i, j in combinations(range(len(many)), 2):
+        if alike(many[i], many[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    df = full_documents(spark, list(enumerate(many)))
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    # these near copies are out of reach of three bits
+    far = [bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") > 3 for a, b in combinations(many, 2) if alike(a, b)]
+    assert sum(far) > 10
+
+
+def test_repeats_and_nulls(spark):
+    rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "lone"), (7, None)]
+    kept = shingles.one_of_each(full_documents(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a b c d e f"), (None, "lone"), (7, None)], key=str)
+    assert shingles.one_of_each(full_documents(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_minima_agree_as_often_as_sets():
+    rng = np.random.default_rng(1)
+    one = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    two = np.unique(np.concatenate([one[:800], rng.integers(0, 1 << 63, 100, dtype=np.uint64)]))
+    shared = (np.diff(shingles.bands([one, two]), axis=0) == 0).mean()
+    assert 0.05 < shared < 0.9 and (shingles.bands([one]) == shingles.bands([two, one])[1]).all()
