@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 
@@ -61,3 +63,26 @@ def test_redaction_keeps_rows_and_clean_texts(spark):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == sorted(
         [(0, "a [assign] b", 12), (1, "clean", 5), (2, None, None), (3, "[access]", 8), (3, "[access]", 8)], key=str
     )
+
+
+def random_found(text):
+    base = secrets.base_spans(text)
+    return [text[s:e] for s, _, e in secrets.random_spans(text, base, secrets.vocabulary(RANKS, PATTERN))]
+
+
+def test_ordinary_text_beside_a_key_does_not_hide_it():
+    rng = random.Random(5)
+    for n in (16, 19, 24, 40):
+        for before in ("https://hooks.example.com/services/incoming/notifications/channel/production/", "https://example.com/account/settings/password-reset/confirm/", ""):
+            for after in ("", "/ordinary/settings/page", "?page=1"):
+                key = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+                assert any(key in f for f in random_found(before + key + after)), before + key + after
+    mixed = "/some/ordinary/path/Zx9Qw3Lk7Vb2_Nm5Pt8Rj4Hs6/and/other/words/550e8400-e29b-41d4-a716-446655440000/" + "further/ordinary/words/" * 5 + "D41D8CD98F00B204E9800998ECF8427E"
+    assert random_found(mixed) == ["Zx9Qw3Lk7Vb2_Nm5Pt8Rj4Hs6"]
+    for plain in ("/archive/2024/01/15/10/30/an-ordinary-title-of-a-page", "eineeinkeitlichpf Einstschkeitieein"):
+        assert random_found(plain) == []
+
+
+def test_stretches_are_found_in_linear_time():
+    encoding = secrets.vocabulary(RANKS, PATTERN)
+    assert secrets.random_stretches("Zx9/notification/settings/" * 40_000, encoding) == []
