@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from functools import cache
 
 import tiktoken
@@ -38,6 +39,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 MIN_RUN, SURE = 16, 20
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}")
 PART = re.compile(r"[A-Za-z0-9]+")
+#: What base spans leave of a random run is reported from this length on.
+MIN_REST = 8
 #: Characters per token at or below which a run counts as random.
 MAX_RATIO = 2.0
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -135,14 +138,42 @@ def random_stretches(run: str, encoding: tiktoken.Encoding) -> list[tuple[int, i
     return sorted(out)
 
 
+def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What disjoint spans in order leave of a range."""
+    out = []
+    for s, e in taken[max(0, bisect_right(taken, (start,)) - 1) :]:
+        if s >= end:
+            break
+        if start < s:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding) -> list[tuple[int, int, int]]:
-    """Runs and stretches of runs with few characters per token that no base span touches."""
+    """Runs and stretches of runs with few characters per token, without what base spans cover."""
+    covered: list[tuple[int, int]] = []
+    for s, _, e in sorted(taken):
+        if covered and s <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+        else:
+            covered.append((s, e))
     out = []
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or known_identifier(m[0]):
+        rest = uncovered(m.start(), m.end(), covered)
+        whole = len(rest) == 1 and rest[0] == m.span()
+        if not rest or known_identifier(m[0]):
             continue
-        spans = [(0, len(m[0]))] if is_random(m[0], encoding) else random_stretches(m[0], encoding)
-        out += [(m.start() + s, 3, m.start() + e) for s, e in spans]
+        if whole:
+            spans = [m.span()] if is_random(m[0], encoding) else None
+        else:  # beside base spans the rest of a random run is as secret as they are
+            left = "".join(text[s:e] for s, e in rest)
+            secret = len(left) >= MIN_REST and not known_identifier(left) and chars_per_token(left, encoding) <= MAX_RATIO
+            secret = secret and chars_per_token(m[0], encoding) <= MAX_RATIO
+            spans = [(s, e) for s, e in rest if PART.search(text, s, e)] if secret else None
+        if spans is None:
+            spans = [(s + a, s + b) for s, e in rest if e - s >= MIN_RUN for a, b in random_stretches(text[s:e], encoding)]
+        out += [(s, 3, e) for s, e in spans]
     return out
 
 

@@ -86,3 +86,17 @@ def test_ordinary_text_beside_a_key_does_not_hide_it():
 def test_stretches_are_found_in_linear_time():
     encoding = secrets.vocabulary(RANKS, PATTERN)
     assert secrets.random_stretches("Zx9/notification/settings/" * 40_000, encoding) == []
+
+
+def test_a_base_span_leaves_no_part_of_a_key():
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    encoding = secrets.vocabulary(RANKS, PATTERN)
+    for n in (9, 20):
+        one, two, inner = draw(n), draw(n), "".join(rng.choices("0123456789abcdef", k=24))
+        text = f"see {one}_{inner}_{two} there"
+        base = secrets.base_spans(text)
+        clean = secrets.redacted(text, sorted(base + secrets.random_spans(text, base, encoding)))
+        assert [k for _, k, _ in base] == [2] and clean == "see [random][hex][random] there"
+    covered = "sha256-" + "0123456789abcdef" * 4
+    assert random_found(covered) == [] and random_found("ordinary/settings/path/api_key=Zx9Qw3Lk7Vb2Nm5Pt8Rj4Hs6") == []
