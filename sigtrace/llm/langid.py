@@ -6,9 +6,10 @@ Learned transitions join neighbouring words; forward-backward gives each word's
 probability of each language, also in code-switched text.  A document takes the
 language with the largest mean probability over all its words; that mean is the score.
 
-Training reads text and lang of a bounded sample: at most ``DOCUMENTS`` documents of
+Training reads text and lang of a bounded sample: at most ``DOCUMENTS`` distinct texts of
 each language in expectation, chosen by the hash of the text, with ``FRAGMENTS``
-stretches of ``STRETCH`` words spread over each document.  Prediction reads whole texts.
+stretches of ``STRETCH`` words spread over each text.  All languages take part; the
+driver holds some 1.5 MB of weights for each.  Prediction reads whole texts.
 
 A text that is null, empty or without letters is ``und`` with score 0, and so is every
 text when there is nothing to learn from.
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigtrace.operators.sizing import broadcast_if_small
 from sigtrace.operators.staging import stage
 
 from .rows import chunks, only, original, split, with_columns
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, stretches of a document, words of a
-#: stretch, characters of a word, and languages (the most frequent).
-DOCUMENTS, FRAGMENTS, STRETCH, LETTERS, LANGUAGES = 500, 4, 32, 64, 64
+#: Bounds of the training sample: distinct texts of a language, stretches of a text, words of a
+#: stretch, and characters of a word.
+DOCUMENTS, FRAGMENTS, STRETCH, LETTERS = 500, 4, 32, 64
 #: Buckets of hashed n-grams, a power of two, and the largest n; both word ends count as characters.
 BUCKETS, LONGEST = 1 << 16, 4
 #: Words of the lexicon: seen this often in the sample.
@@ -189,10 +191,12 @@ def sample(documents: DataFrame, per_language: int = DOCUMENTS) -> list[tuple[st
     known = only(documents, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(per_language / r["count"])) for r in counts)) if counts else F.lit(0.0)
+    # copies count once, so that a text with many of them takes no other text's place
+    texts = known.select("lang", F.xxhash64("text", F.lit(1)).alias("text")).distinct()
+    shares = stage(texts.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share")))
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)))
     # the hash decides, so that a text is always in or always out
-    chosen = known.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    chosen = drawn.join(broadcast_if_small(shares), "lang").where(F.col("draw") < F.col("share") * (1 << 30)).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +210,7 @@ def sample(documents: DataFrame, per_language: int = DOCUMENTS) -> list[tuple[st
                         stretches.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(stretches, pa.list_(pa.string()))], names=["lang", "words"])
 
-    # copies of a text share its hash and would exceed the bound together: each stretch counts once
+    # copies of a text share its hash and come in together: each stretch counts once
     rows = stage(chosen.mapInArrow(cut, "lang string, words array<string>").distinct())
     return sorted((lang, list(part)) for lang, part in rows.collect())
 

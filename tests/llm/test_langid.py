@@ -96,3 +96,20 @@ def test_rejected_documents_go(spark):
     kept = L.keep_identified(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows}
+
+
+def test_copies_do_not_crowd_out_other_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, text(rng, "xx", 12), "xx") for i in range(200)] + [(i, "sel mel rin don", "yy") for i in range(1000, 3000)]
+    rows += [(i, text(rng, "yy", 12), "yy") for i in range(3000, 3100)]
+    df = full_documents(spark, [(i, t) for i, t, _ in rows], {i: g for i, _, g in rows})
+    drawn = L.sample(df, per_language=40)
+    count = lambda g: len({tuple(part) for lang, part in drawn if lang == g})
+    assert 20 < count("xx") < 80 and 20 < count("yy") < 80
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"word{chr(97 + g // 26)}{chr(97 + g % 26)} " * 5, f"l{g:03}") for g in range(90) for i in (3 * g, 3 * g + 100_000)]
+    df = full_documents(spark, [(i, t) for i, t, _ in rows], {i: g for i, _, g in rows})
+    known = {r.lang for r in df.where(~L.is_held_out(df.doc_id)).select("lang").distinct().collect()}
+    assert len(known) > 64 and {lang for lang, _ in L.sample(df)} == known
