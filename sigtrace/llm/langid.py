@@ -44,7 +44,8 @@ LEXICON_COUNT = 5
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.1, 1e-4
 #: Word emissions kept between batches of a task, and words whose n-grams are looked up at once.
 KEPT, SLICE = 250_000, 10_000
-#: Documents scored below this have no main language; halves in two languages stay.
+#: Documents whose words have a mean largest probability below this are rejected; however many languages share
+#: a document, it stays where its words are clear.
 MIN_SCORE = 0.4
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -115,30 +116,43 @@ class Field:
         self.kept, self.table = {}, np.empty((0, len(self.languages)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, their scores, and how sure the words are: the mean of each word's largest probability.
+
+        Without languages nothing speaks against a text that has words, which is as sure as can be.
+        """
+        names, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return names, scores
+            return names, scores, [float(bool(t and WORD.search(t))) for t in texts]
         for a, b in chunks(texts):
             found = {i: w for i in range(a, b) if (w := words(texts[i]))}
             rows = self.numbered(list(found.values()))
-            for i, mass in zip(found, self.marginal_means(rows)):
+            for i, mass, peak in zip(found, *self.marginals(rows)):
                 best = int(mass.argmax())
-                names[i], scores[i] = self.languages[best], min(1.0, float(mass[best]))
-        return names, scores
+                names[i], scores[i], sure[i] = self.languages[best], min(1.0, float(mass[best])), min(1.0, float(peak))
+        return names, scores, sure
 
     def marginal_means(self, rows: list[np.ndarray]) -> np.ndarray:
         """Mean probability of each language over the words of each text."""
+        return self.marginals(rows)[0]
+
+    def marginals(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Means over the words of each text: of each language's probability, and of the largest one."""
         if not rows:
-            return np.empty((0, len(self.languages)))
+            return np.empty((0, len(self.languages))), np.empty(0)
         lengths = np.array([len(r) for r in rows])
         order = np.argsort(-lengths, kind="stable")
         emission = TimeMajor([rows[i] for i in order], self.table)
-        sums = np.zeros((len(rows), len(self.languages)))
+        sums, peaks = np.zeros((len(rows), len(self.languages))), np.zeros(len(rows))
         for _, gamma in forward_backward(emission, np.exp(self.transitions), np.exp(self.start)):
             sums[: len(gamma)] += gamma
-        out = np.empty_like(sums)
+            peaks[: len(gamma)] += gamma.max(axis=1)
+        out, largest = np.empty_like(sums), np.empty_like(peaks)
         out[order] = sums / lengths[order][:, None]
-        return out
+        largest[order] = peaks / lengths[order]
+        return out, largest
 
 
 class TimeMajor:
@@ -303,13 +317,13 @@ def fit(documents: DataFrame, per_language: int = DOCUMENTS) -> Field:
     return train(sample(documents, per_language))
 
 
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())]
 
 
 def labelled(documents: DataFrame, model: Field) -> DataFrame:
-    """All columns of ``documents`` and, last, lang_pred and score."""
+    """All columns of ``documents`` and, last, lang_pred, score and sure (see ``Field.judge``)."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return with_columns(documents, ["text"], FIELDS, lambda texts: sent.value.predict(texts), lambda: sent.value.forget())
+    return with_columns(documents, ["text"], FIELDS, lambda texts: sent.value.judge(texts), lambda: sent.value.forget())
 
 
 def identify(documents: DataFrame, model: Field | None = None) -> DataFrame:
@@ -318,12 +332,15 @@ def identify(documents: DataFrame, model: Field | None = None) -> DataFrame:
     Without a model one is fitted to the rows that are not held out.
     """
     rows = only(documents, "doc_id", "text")
-    made = split(labelled(rows, model or fit(documents)), ["doc_id", "text", "lang_pred", "score"], ["doc_id", "lang_pred", "score"])
+    made = split(labelled(rows, model or fit(documents)), ["doc_id", "text", "lang_pred", "score", "sure"], ["doc_id", "lang_pred", "score"])
     return made.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``documents`` without those that have no letters or no language with ``min_score`` of their words."""
+    """``documents`` without those that have no letters or whose words have no clear language (``sure`` below ``min_score``).
+
+    Where no document has a lang there is nothing to learn from, and all with letters stay.
+    """
     made = labelled(documents, fit(documents))
-    name, score = made.columns[-2:]
-    return original(made.where((F.col(name) != UNKNOWN) & (F.col(score) >= min_score)), documents)
+    sure = F.col(made.columns[-1])
+    return original(made.where((sure > 0) & (sure >= min_score)), documents)

@@ -113,3 +113,19 @@ def test_every_language_is_learnt(spark):
     df = full_documents(spark, [(i, t) for i, t, _ in rows], {i: g for i, _, g in rows})
     known = {r.lang for r in df.where(~L.is_held_out(df.doc_id)).select("lang").distinct().collect()}
     assert len(known) > 64 and {lang for lang, _ in L.sample(df)} == known
+
+
+def test_documents_in_many_languages_stay(spark, monkeypatch):
+    syllables = {**SYLLABLES, "vv": ["bra", "bru", "bro"], "ww": ["whi", "whe", "who"]}
+    monkeypatch.setattr(f"{__name__}.SYLLABLES", syllables)
+    rng = random.Random(13)
+    rows = [(i, text(rng, lang := list(syllables)[i % 5], 30), lang) for i in range(300)]
+    mixed = [(1000 + i, " ".join(text(rng, g, 12) for g in syllables), None) for i in range(5)]
+    df = full_documents(spark, [(i, t) for i, t, _ in rows + mixed], {i: g for i, _, g in rows + mixed})
+    assert all(r.score < L.MIN_SCORE for r in L.identify(df).where("doc_id >= 1000").collect())
+    assert {r.doc_id for r in L.keep_identified(df).collect()} == {i for i, _, _ in rows + mixed}
+
+
+def test_without_any_lang_documents_pass_through(spark):
+    df = full_documents(spark, [(0, "some text"), (1, None), (2, "12 ??"), (3, "héé")], {i: None for i in range(4)})
+    assert sorted(r.doc_id for r in L.keep_identified(df).collect()) == [0, 3]
