@@ -9,7 +9,8 @@ length there stays below the window, so nothing can be lost.
 Items beyond ``BLOCK_WORDS`` words are split into blocks with an automaton each, so
 that what is sent to the executors stays bounded; the blocks' hits are united.
 
-Null texts have no words; an item without words matches nothing.
+Null texts have no words; an item without words matches nothing.  Items whose id is
+null are left out: their passages are neither hit nor dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigtrace.operators.staging import stage
+
 from .rows import chunks, only, original, split, with_columns
 
 WINDOW = 13
@@ -30,6 +33,8 @@ WINDOW = 13
 ONE_IN = 20
 #: Words of items in one automaton; about 200 bytes each.
 BLOCK_WORDS = 500_000
+#: Automata that workers hold at once.
+ALIVE = 2
 #: Bytes that are part of words, in lower case; all others separate.
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -237,13 +242,20 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_
 
     ``spans`` are word ranges inside windows, as start and end in turn; ``items`` the
     item_ids of those windows.  Every block of items is one more narrow pass over the
-    same rows, nothing is shuffled.
+    same rows, nothing is shuffled; the rows are written every ``ALIVE`` blocks.
     """
     context = documents.sparkSession.sparkContext
     width = len(documents.columns)
     frame = documents
+    alive = []
     for number, automaton in enumerate(blocks(items, window, block_words)):
+        if len(alive) == ALIVE:
+            frame = stage(frame)
+            for old in alive:
+                old.destroy()
+            alive = []
         sent = context.broadcast(automaton)
+        alive.append(sent)
         inputs = ["text"] if not number else [frame.columns[documents.columns.index("text")], *frame.columns[-2:]]
         frame = with_columns(frame, inputs, HITS, _one_block(sent))
         if number:  # the newest three columns take the place of the ones before

@@ -78,3 +78,15 @@ def test_spans_are_cut_out(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = D.without_spans(full_documents(spark, [(0, f"before, {PASSAGE}. after"), (1, None), (2, "clean é")]), items)
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(0, "before, . after"), (1, None), (2, "clean é")]
+
+
+def test_few_automata_are_alive_at_once(spark):
+    from sigtrace.llm import decontaminate
+
+    texts = [" ".join(f"b{i}w{j}" for j in range(15)) for i in range(5)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(0, texts[1]), (1, " ".join(texts)), (2, "none of them")], "doc_id long, text string")
+    one, many = (sorted(decontaminate.report(docs, items, block_words=n).collect()) for n in (500_000, 10))
+    assert one == many and [(r.n_hit, r.n_items) for r in many] == [(15, 1), (75, 5), (0, 0)]
+    plan = decontaminate.matches(docs, items, block_words=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("MapInArrow") <= decontaminate.ALIVE
