@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, hashtree, langid, licenses, merkle, secrets, sentencepieces, simhash, topk, urlrules
+from . import (
+    decontaminate, fertility, hashtree, langid, licenses, merkle, negatives, secrets, sentencepieces, simhash, topk, urlrules, whitening,
+)
+
+from .rows import only
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,3 +79,21 @@ def op9_language_id(spark, sf_dir):
 @query
 def op10_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fertility(spark, sf_dir):
+    judged = fertility.judge(table(spark, sf_dir, "documents"), RANKS, PATTERN, PIECES)
+    return judged.drop("lang", "script", "reasons").drop(*fertility.MEASURES)
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    vectors = only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.components(table(spark, sf_dir, "embeddings"))
