@@ -1,6 +1,9 @@
 """Corpus preparation: language, near duplicates, benchmark passages, secrets, tokens.
 
-Each stage gets what its predecessor kept, as written Parquet.
+Each stage gets what its predecessor kept, as written Parquet.  Documents whose text is null, empty or
+without letters go in the first stage, and so do those unlike every language that the table has labels for.
+Of documents in one group of near copies the one with the smallest doc_id stays; of several rows with that
+doc_id, or where all are null, one.  Extra columns pass through all stages but the last.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,19 +12,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigtrace.llm import decontaminate, langid, secrets, sentencepieces, shingles
+from sigtrace.llm import decontaminate, langid, secrets, sentencepieces, simhash
 from sigtrace.llm.queries import PATTERN, PIECES, RANKS, table
 from sigtrace.operators.staging import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose words have a clear language, in one or many."""
+    """Documents with letters whose words are like those of a learned language, or of several."""
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles alike by 0.8 or more."""
-    return shingles.one_of_each(docs)
+    """One document of each group of near copies: fingerprints of three-word shingles linked at 3 bits or fewer."""
+    return simhash.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("near-dedup by word shingles", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark),
     ("secret scans", hide_secrets),
     ("SentencePiece encoding and decoding", tokens),

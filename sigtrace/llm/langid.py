@@ -11,6 +11,10 @@ each language in expectation, chosen by the hash of the text, with ``FRAGMENTS``
 stretches of ``STRETCH`` words spread over each text.  All languages take part; the
 driver holds some 1.5 MB of weights for each.  Prediction reads whole texts.
 
+A text is rejected by ``keep_identified`` if its words are unlike those of every learned
+language: too few of their three-character runs were seen in training, measured against how
+many a new text of these languages has (the Good-Turing estimate of the sample).
+
 A text that is null, empty or without letters is ``und`` with score 0, and so is every
 text when there is nothing to learn from.
 """
@@ -47,6 +51,8 @@ KEPT, SLICE = 250_000, 10_000
 #: Documents whose words have a mean largest probability below this are rejected; however many languages share
 #: a document, it stays where its words are clear.
 MIN_SCORE = 0.4
+#: Least share of known runs in a document's words, of the share that new texts of the learned languages have.
+MIN_KNOWN = 0.75
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,9 +79,19 @@ def gram_hashes(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def runs(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The three-character runs of all words, both ends included, as numbers, and the word that each belongs to."""
+    lengths = np.fromiter(map(len, many), np.int64, len(many)) + 2
+    flat = np.frombuffer("".join([f"^{w}$" for w in many]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(many)), lengths)
+    inside = owner[:-2] == owner[2:]
+    shift = np.uint64(21)  # code points have 21 bits
+    return (((flat[:-2] << shift | flat[1:-1]) << shift) | flat[2:])[inside], owner[:-2][inside]
+
+
 @dataclass
 class Field:
-    """A trained model; ``kept`` is a task's memory of emissions."""
+    """A trained model; ``kept`` is a task's memory of emissions and shares of known runs."""
 
     languages: list[str]
     grams: np.ndarray
@@ -83,11 +99,22 @@ class Field:
     lexical: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
+    #: Runs seen in training, sorted, and the share of known runs to expect of a new text.
+    seen: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    expected: float = 0.0
     kept: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    shares: np.ndarray | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "kept": {}, "table": None}
+        return {**self.__dict__, "kept": {}, "table": None, "shares": None}
+
+    def known(self, many: list[str]) -> np.ndarray:
+        """Share of the runs of each word that were seen in training."""
+        found, owner = runs(many)
+        at = np.minimum(np.searchsorted(self.seen, found), max(0, len(self.seen) - 1))
+        hit = self.seen[at] == found if len(self.seen) else np.zeros(len(found), bool)
+        return np.bincount(owner, hit, len(many)) / np.bincount(owner, minlength=len(many))
 
     def emissions(self, many: list[str]) -> np.ndarray:
         """Log weights of each language for each word, scaled by the number of its n-grams."""
@@ -109,30 +136,35 @@ class Field:
             self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
             made = np.vstack([self.emissions(new[i : i + SLICE]) for i in range(0, len(new), SLICE)])
             self.table = np.vstack([self.table, np.exp(made - made.max(axis=1, keepdims=True))])
+            self.shares = np.concatenate([self.shares, *(self.known(new[i : i + SLICE]) for i in range(0, len(new), SLICE))])
         get = self.kept.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
     def forget(self) -> None:
-        self.kept, self.table = {}, np.empty((0, len(self.languages)))
+        self.kept, self.table, self.shares = {}, np.empty((0, len(self.languages))), np.empty(0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         return self.judge(texts)[:2]
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Languages, their scores, and how sure the words are: the mean of each word's largest probability.
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[float]]:
+        """Languages, their scores, how sure the words are (the mean of each word's largest probability), and how well
+        known: the mean share of known runs, relative to the expected one.
 
-        Without languages nothing speaks against a text that has words, which is as sure as can be.
+        Without languages nothing speaks against a text that has words, which is as sure and known as can be.
         """
-        names, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        names, scores, sure, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return names, scores, [float(bool(t and WORD.search(t))) for t in texts]
+            some = [float(bool(t and WORD.search(t))) for t in texts]
+            return names, scores, some, some
         for a, b in chunks(texts):
             found = {i: w for i in range(a, b) if (w := words(texts[i]))}
             rows = self.numbered(list(found.values()))
             for i, mass, peak in zip(found, *self.marginals(rows)):
                 best = int(mass.argmax())
                 names[i], scores[i], sure[i] = self.languages[best], min(1.0, float(mass[best])), min(1.0, float(peak))
-        return names, scores, sure
+            for i, row in zip(found, rows):
+                known[i] = min(1.0, float(self.shares[row].mean()) / max(self.expected, 1e-9))
+        return names, scores, sure, known
 
     def marginal_means(self, rows: list[np.ndarray]) -> np.ndarray:
         """Mean probability of each language over the words of each text."""
@@ -243,6 +275,7 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 7) -> Field:
     model = Field(languages, np.zeros((BUCKETS, k)), lexicon, np.zeros((len(lexicon), k)), np.zeros((k, k)), np.zeros(k))
     if k == 0:
         return model
+    model.seen, model.expected = familiar([part for _, part in stretches])
     rng = np.random.default_rng(seed)
     weights = [model.grams, model.lexical, model.transitions, model.start]
     squares = [np.full_like(w, 1e-6) for w in weights]
@@ -285,6 +318,21 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 7) -> Field:
     return model
 
 
+def familiar(stretches: list[list[str]]) -> tuple[np.ndarray, float]:
+    """All runs of the stretches, sorted, and the share of its runs that a new stretch would find among them.
+
+    By Good and Turing that is one less the share of runs that only one stretch has; half at least, for tiny samples.
+    """
+    found, owner = runs([w for part in stretches for w in part])
+    of = np.repeat(np.arange(len(stretches)), list(map(len, stretches)))[owner]
+    order = np.lexsort((of, found))
+    found, of = found[order], of[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    last = np.concatenate((first[1:], [len(found)])) - 1
+    alone = of[first] == of[last]
+    return found[first], max(0.5, 1 - float((last - first + 1)[alone].sum()) / len(found))
+
+
 def gradients(steps: TimeMajor, labels: TimeMajor, model: Field, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Observed minus expected counts: by word, of transitions and of first labels."""
     k = len(model.languages)
@@ -317,11 +365,11 @@ def fit(documents: DataFrame, per_language: int = DOCUMENTS) -> Field:
     return train(sample(documents, per_language))
 
 
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())]
+FIELDS = [T.StructField("lang_pred", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("score", "sure", "known"))]
 
 
 def labelled(documents: DataFrame, model: Field) -> DataFrame:
-    """All columns of ``documents`` and, last, lang_pred, score and sure (see ``Field.judge``)."""
+    """All columns of ``documents`` and, last, lang_pred, score, sure and known (see ``Field.judge``)."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     return with_columns(documents, ["text"], FIELDS, lambda texts: sent.value.judge(texts), lambda: sent.value.forget())
 
@@ -332,15 +380,19 @@ def identify(documents: DataFrame, model: Field | None = None) -> DataFrame:
     Without a model one is fitted to the rows that are not held out.
     """
     rows = only(documents, "doc_id", "text")
-    made = split(labelled(rows, model or fit(documents)), ["doc_id", "text", "lang_pred", "score", "sure"], ["doc_id", "lang_pred", "score"])
+    made = split(labelled(rows, model or fit(documents)), ["doc_id", "text", *(f.name for f in FIELDS)], ["doc_id", "lang_pred", "score"])
     return made.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``documents`` without those that have no letters or whose words have no clear language (``sure`` below ``min_score``).
+def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE, min_known: float = MIN_KNOWN) -> DataFrame:
+    """``documents`` without those that have no letters, whose words are unlike every learned language (``known`` below
+    ``min_known``) or have no clear one (``sure`` below ``min_score``).  A null ``lang`` becomes the predicted one.
 
-    Where no document has a lang there is nothing to learn from, and all with letters stay.
+    Where no document has a lang there is nothing to learn from, and all with letters stay, with a null lang.
     """
     made = labelled(documents, fit(documents))
-    sure = F.col(made.columns[-1])
-    return original(made.where((sure > 0) & (sure >= min_score)), documents)
+    predicted, _, sure, known = (F.col(c) for c in made.columns[-4:])
+    kept = made.where((sure > 0) & (sure >= min_score) & (known >= min_known))
+    at = documents.columns.index("lang")
+    lang = F.coalesce(F.col(f"c{at}"), F.when(predicted != UNKNOWN, predicted)).alias(f"c{at}")
+    return original(kept.select(*(lang if i == at else F.col(c) for i, c in enumerate(kept.columns))), documents)

@@ -135,8 +135,8 @@ def links(fingerprints: DataFrame) -> DataFrame:
             held = [rows[:, starts[-1] :]]  # the last list may go on
             if out := [f for f in found if len(f[0])]:
                 yield _pairs(out)
-        if held and len(out := _connect(np.hstack(held))[0]):
-            yield _pairs([_connect(np.hstack(held))])
+        if held and len((last := _connect(np.hstack(held)))[0]):
+            yield _pairs([last])
 
     return together.mapInArrow(run, "a long, b long")
 

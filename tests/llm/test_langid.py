@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pytest
 
 from sigtrace.llm import langid as L
 
@@ -129,3 +130,36 @@ def test_documents_in_many_languages_stay(spark, monkeypatch):
 def test_without_any_lang_documents_pass_through(spark):
     df = full_documents(spark, [(0, "some text"), (1, None), (2, "12 ??"), (3, "héé")], {i: None for i in range(4)})
     assert sorted(r.doc_id for r in L.keep_identified(df).collect()) == [0, 3]
+
+
+def junk(rng, n=40):
+    """Random letters, a foreign alphabet, encoded bytes and markup."""
+    word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 10)))
+    latin, greek = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω"
+    out = [" ".join(word(latin) for _ in range(rng.randint(6, 60))) for _ in range(n)]
+    out += [" ".join(word(greek) for _ in range(rng.randint(6, 60))) for _ in range(n)]
+    out += ["".join(rng.choice(latin + latin.upper() + "0123456789+/") for _ in range(600)) for _ in range(n)]
+    return out + [f'<div class="x{i}"><span style="font-size:{i}px">&nbsp;</span><a href="https://w.test/q?id={i}">' * 3 for i in range(n)]
+
+
+def test_junk_is_rejected_and_clean_texts_stay(spark):
+    rng = random.Random(21)
+    rows = corpus(rng, 400)
+    switched = [(5000 + i, text(rng, list(SYLLABLES)[i % 3], 15) + " " + text(rng, list(SYLLABLES)[(i + 1) % 3], 15), None) for i in range(40)]
+    bad = [(6000 + i, t, None) for i, t in enumerate(junk(rng))]
+    every = rows + switched + bad
+    df = full_documents(spark, [(i, t) for i, t, _ in every], {i: g for i, _, g in every})
+    kept = {r.doc_id: r.lang for r in L.keep_identified(df).collect()}
+    clean = [i for i, *_ in rows + switched]
+    assert sum(i in kept for i in clean) >= 0.99 * len(clean)
+    assert sum(i in kept for i, *_ in bad) <= 0.1 * len(bad)
+    assert all(kept[i] == g for i, _, g in rows if i in kept)  # a known lang stays
+    assert all(kept[i] in SYLLABLES for i, *_ in switched if i in kept)  # a missing one is filled in
+
+
+def test_expected_share_of_known_runs():
+    seen, share = L.familiar([["aa", "ab"], ["aa"]])
+    found, _ = L.runs(["aa", "ab"])
+    assert seen.tolist() == sorted(set(found.tolist())) and share == pytest.approx(1 - 2 / 6)
+    model = L.train([("x", ["aa", "ab"]), ("x", ["aa"])])
+    assert model.known(["aa", "ab", "aab", "zzz"]).tolist() == pytest.approx([1.0, 1.0, 2 / 3, 0.0])

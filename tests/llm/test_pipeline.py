@@ -4,6 +4,7 @@ import corpus_pipeline
 from sigtrace.llm import langid, sentencepieces
 from sigtrace.llm.queries import PIECES
 
+from .helpers import odd_columns
 from .test_decontaminate import PASSAGE
 from .test_langid import corpus
 
@@ -32,3 +33,17 @@ def test_every_stage_takes_effect(spark, tmp_path):
     codec = sentencepieces.codec(PIECES)
     assert final == {i: codec.library.encode(t) for i, t in held[3].items()}
     assert len(corpus_pipeline.STAGES) == 5 and langid.MIN_SCORE < 0.5
+
+
+def test_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("odd", [(None, None, None, None, None), (1, "", "xx", "s", 0), (None, "sel mel", "xx", "s", 7), (2, "sel mel", "xx", "s", 7), (2, "sel mel", "xx", "s", 7)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        final = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert [r.doc_id for r in final.collect()] == ([2] if rows else [])
+        docs = odd_columns(spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"))
+        for stage_name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, docs, f"{tmp_path}/{name}")
+            assert stage_name.startswith("Sentence") or kept.columns == docs.columns
+            kept.collect()
