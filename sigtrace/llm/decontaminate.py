@@ -9,8 +9,9 @@ length there stays below the window, so nothing can be lost.
 Items beyond ``BLOCK_WORDS`` words are split into blocks with an automaton each, so
 that what is sent to the executors stays bounded; the blocks' hits are united.
 
-Null texts have no words; an item without words matches nothing.  Items whose id is
-null are left out: their passages are neither hit nor dropped.
+Null texts have no words; an item without words matches nothing.  Words of items whose id is
+null are hit and count in n_hit and contaminated like any other; n_items and items_sha256 are of the items
+with an id.
 """
 
 from __future__ import annotations
@@ -96,28 +97,36 @@ class ItemAutomaton:
         return len(self.next) - 1
 
     def _mark(self, coded: list[tuple[int, list[int]]]) -> None:
-        """Items by the state that stands for their windows: full windows and short whole items."""
+        """Items by the state that stands for their windows: full windows and short whole items.
+
+        Every state knows the suffix state that holds its windows and the nearest one with a
+        short item, so that a word costs the same in texts of one repeated word.
+        """
+        order = np.argsort(self.length, kind="stable").tolist()  # a suffix link leads to a shorter state
+        self.holder = list(range(len(self.next)))
+        for state in order[1:]:
+            if self.length[self.link[state]] >= self.window:
+                self.holder[state] = self.holder[self.link[state]]
         self.items: dict[int, set[int]] = {}
-        self.short: dict[int, tuple[int, set[int]]] = {}
+        short: dict[tuple[int, int], set[int]] = {}
         for item, text in coded:
+            named = set() if item is None else {item}
             if len(text) < self.window:
                 state = 0
                 for word in text:
                     state = self.next[state][word]
-                self.short.setdefault((state, len(text)), (len(text), set()))[1].add(item)
+                short.setdefault((state, len(text)), set()).update(named)
                 continue
             for state, matched in self.walk(text):
                 if matched >= self.window:
-                    self.items.setdefault(self.holder(state, self.window), set()).add(item)
+                    self.items.setdefault(self.holder[state], set()).update(named)
         self.short_at: dict[int, list[tuple[int, set[int]]]] = {}
-        for (state, _), found in self.short.items():
-            self.short_at.setdefault(state, []).append(found)
-
-    def holder(self, state: int, size: int) -> int:
-        """The state that holds the suffix of ``size`` words of ``state``."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+        for (state, size), found in short.items():
+            self.short_at.setdefault(state, []).append((size, found))
+        self.nearest = [-1] * len(self.next)
+        if short:
+            for state in order[1:]:
+                self.nearest[state] = state if state in self.short_at else self.nearest[self.link[state]]
 
     def walk(self, coded: list[int]) -> Iterator[tuple[int, int]]:
         """State and longest matching length after each word; -1 is a word that no item has."""
@@ -135,13 +144,13 @@ class ItemAutomaton:
     def ends(self, state: int, matched: int) -> Iterator[tuple[int, set[int]]]:
         """Windows that end here: their sizes and items."""
         if matched >= self.window:
-            yield self.window, self.items.get(self.holder(state, self.window), set())
-        if self.short_at:
-            while state > 0:
-                for size, items in self.short_at.get(state, ()):
-                    if size <= matched:
-                        yield size, items
-                state = self.link[state]
+            yield self.window, self.items.get(self.holder[state], set())
+        state = self.nearest[state]
+        while state > 0:  # fewer steps than the window has words
+            for size, items in self.short_at[state]:
+                if size <= matched:
+                    yield size, items
+            state = self.nearest[self.link[state]]
 
     BITS = 20
 
@@ -173,12 +182,15 @@ class ItemAutomaton:
         """Disjoint ranges of words inside windows, and the items of the windows."""
         spans: list[list[int]] = []
         items: set[int] = set()
+        last = None
         for start, end in self.stretches(numbered):
             for i, (state, matched) in enumerate(self.walk(numbered[start:end].tolist()), start + 1):
                 widest = 0
                 for size, found in self.ends(state, matched):
                     widest = max(widest, size)
-                    items |= found
+                    if found is not last:  # neighbouring windows are often of the same items
+                        items |= found
+                        last = found
                 if widest:
                     if spans and i - widest <= spans[-1][1]:
                         spans[-1] = [min(spans[-1][0], i - widest), i]
@@ -208,7 +220,7 @@ class ItemAutomaton:
 def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[ItemAutomaton]:
     """Automata over the items (item_id, text), read row by row and closed at ``block_words`` words; one at least."""
     held, size, closed = [], 0, 0
-    for item, text in only(items, "item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
+    for item, text in only(items, "item_id", "text").where("text is not null").toLocalIterator():
         if not (found := words(text)):
             continue
         held.append((item, found))
@@ -284,7 +296,7 @@ def _one_block(sent):
 def report(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
-    A word inside any window is hit.  Repeated and null doc_ids pass through.
+    A word inside any window is hit, also of items without an id.  Repeated and null doc_ids pass through.
     """
     rows = only(documents, "doc_id", "text")
     made = split(matches(rows, items, window, block_words), ["doc_id", "text", *(f.name for f in HITS)], ["doc_id", "n_words", "spans", "items"])
