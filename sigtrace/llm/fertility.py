@@ -25,7 +25,9 @@ from __future__ import annotations
 import base64
 import math
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import sentencepiece
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from sigtrace.operators.staging import stage
 
-from .rows import only, split, with_columns
+from .rows import chunks, only, split, with_columns
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
@@ -50,7 +52,7 @@ WIDTH, STEADY, LEAST = 6.0, 512, 2
 MIN_TEXTS, MIN_SHARE = 200, 0.001
 #: Measures are counted on a grid of this step, which makes quartiles exact and histograms small.
 STEP = 0.001
-#: Words whose pieces a task remembers.
+#: Words that a task remembers.
 KEPT = 300_000
 
 #: First code points of runs of one script, fixed values of the Unicode block list; letters elsewhere are "other".
@@ -71,48 +73,84 @@ PLAIN = np.array([not (0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0xC0 and c
 MEASURES = ["byte_chars", "piece_chars", "fallback", "entropy"]
 
 
-@lru_cache(maxsize=2)
-def byte_vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-class Pieces:
-    """A piece vocabulary with a memory of words: number of pieces, and of those that are bytes."""
-
-    def __init__(self, path: str):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.kept: dict[str, tuple[int, int]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = list(words.difference(self.kept))
-        for word, ids in zip(new, self.model.encode(new, num_threads=1) if new else []):
-            self.kept[word] = (len(ids), int(self.is_byte[ids].sum()))
+class Words:
+    """What both vocabularies make of words; a task remembers the words it has met."""
+
+    def __init__(self, ranks: str, pattern: str, pieces: str):
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+        self.bytes = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        self.sizes = np.zeros(max(known.values()) + 1, np.int64)
+        self.sizes[list(known.values())] = list(map(len, known))
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.chars = self.n_pieces = self.n_fallback = self.tokens = np.empty(0, np.int64)
+        self.ends = np.zeros(1, np.int64)  # of the words' tokens
+
+    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The words of each text as numbers."""
+        if len(self.number) > KEPT:
+            self.forget()
+        old = len(self.number)
+        out = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
+        if new := list(islice(reversed(self.number), len(self.number) - old))[::-1]:
+            self._learn(new)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        tokens = np.array(self.bytes.encode_ordinary(" " + " ".join(words)), np.int64)
+        # a token never goes over a space, so the words' sizes tell their tokens
+        spans, at = np.cumsum([len(w.encode()) + 1 for w in words]), np.cumsum(self.sizes[tokens])
+        ends = np.searchsorted(at, spans) + 1
+        pieces = self.pieces.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        fallback = self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int64, int(sizes.sum()))]
+        self.chars = np.concatenate([self.chars, np.fromiter(map(len, words), np.int64, len(words))])
+        self.n_pieces = np.concatenate([self.n_pieces, sizes])
+        self.n_fallback = np.concatenate([self.n_fallback, np.bincount(owner, fallback, len(words)).astype(np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+        self.tokens = np.concatenate([self.tokens, tokens])
+
+    def tokens_of(self, codes: np.ndarray) -> np.ndarray:
+        """The byte-level tokens of words in their order."""
+        starts = self.ends[codes]
+        sizes = self.ends[codes + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.tokens[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 @lru_cache(maxsize=2)
-def piece_vocabulary(path: str) -> Pieces:
-    return Pieces(path)
+def vocabularies(ranks: str, pattern: str, pieces: str) -> Words:
+    return Words(ranks, pattern, pieces)
 
 
-def repeated_words(words: list[str], size: int = WINDOW) -> int:
-    """Words inside windows of ``size`` (a power of two) words found twice or more, first included."""
-    n = len(words) - size + 1
+def repeated_words(code: np.ndarray, size: int = WINDOW) -> int:
+    """Words (numbered) inside windows of ``size`` (a power of two) words found twice or more, first included."""
+    n = len(code) - size + 1
     if n < 2:
         return 0
-    number: dict[str, int] = {}
-    code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    with np.errstate(over="ignore"):  # different hashes are different windows, so most texts end here
+        mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        hashes = np.zeros(n, np.uint64)
+        for i in range(size):
+            hashes = hashes * np.uint64(0x100000001B3) + mixed[i : i + n]
+    hashes.sort()
+    if not (hashes[1:] == hashes[:-1]).any():
+        return 0
     width = 1
     while width < size:  # windows of twice the width are pairs of windows, numbered anew
-        pairs = code[:-width] * (int(code.max()) + 1) + code[width:]
-        _, code = np.unique(pairs, return_inverse=True)
+        _, code = np.unique(code, return_inverse=True)
+        code = code[:-width] * (int(code.max()) + 1) + code[width:]
         width *= 2
+    _, code = np.unique(code, return_inverse=True)
     often = np.bincount(code)[code] > 1
-    edges = np.zeros(len(words) + 1, np.int64)
+    edges = np.zeros(n + size, np.int64)
     edges[:n] += often
     edges[size:] -= often
     return int((np.cumsum(edges)[:-1] > 0).sum())
@@ -151,7 +189,7 @@ def entropy(ids: np.ndarray, span: int = SPAN) -> float:
 
 
 def cut(words: list[str]) -> list[str]:
-    if all(len(w) <= LONGEST for w in words):
+    if max(map(len, words), default=0) <= LONGEST:
         return words
     return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
@@ -163,20 +201,31 @@ FIELDS = [
 ]
 
 
-def measures(text: str | None, vocabulary: tiktoken.Encoding, pieces: Pieces) -> tuple:
-    """The values of ``FIELDS`` for one text."""
-    words = WORD.findall(text) if text else []
-    if not words:
-        return (0, 0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, None)
-    chars = sum(map(len, words))
-    units = cut(words)
-    ids = np.array(vocabulary.encode_ordinary(" " + " ".join(units)), np.int64)
-    pieces.learn(set(units))
-    n_pieces, n_bytes = (sum(x) for x in zip(*map(pieces.kept.__getitem__, units)))
-    return (
-        len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words), len(ids),
-        chars / len(ids), chars / max(1, n_pieces), n_bytes / max(1, n_pieces), entropy(ids), script(text),
-    )
+NOTHING = (0, 0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, None)
+
+
+def measures(texts: list[str | None], known: Words) -> list[tuple]:
+    """The values of ``FIELDS`` for each text."""
+    words = [WORD.findall(t) if t else [] for t in texts]
+    pieces_of = list(map(cut, words))
+    out = []
+    for text, own, units, codes in zip(texts, words, pieces_of, known.codes(pieces_of)):
+        if not own:
+            out.append(NOTHING)
+            continue
+        tokens = known.tokens_of(codes)
+        chars, pieces = int(known.chars[codes].sum()), int(known.n_pieces[codes].sum())
+        if len(units) > len(own):  # repeated windows are of whole words
+            number: dict[str, int] = {}
+            codes_of_words = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
+        else:
+            codes_of_words = codes
+        fallback = int(known.n_fallback[codes].sum()) / max(1, pieces)
+        out.append((
+            len(own), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(codes_of_words), len(tokens),
+            chars / len(tokens), chars / max(1, pieces), fallback, entropy(tokens), script(text),
+        ))
+    return out
 
 
 def measured(documents: DataFrame, ranks: str, pattern: str, pieces: str) -> DataFrame:
@@ -187,10 +236,11 @@ def measured(documents: DataFrame, ranks: str, pattern: str, pieces: str) -> Dat
     names = ["doc_id", "text", "lang"] if "lang" in documents.columns else ["doc_id", "text"]
 
     def compute(texts):
-        vocabularies = byte_vocabulary(ranks, pattern), piece_vocabulary(pieces)
-        return list(zip(*(measures(t, *vocabularies) for t in texts))) or [[] for _ in FIELDS]
+        known = vocabularies(ranks, pattern, pieces)
+        rows = [row for a, b in chunks(texts) for row in measures(texts[a:b], known)]
+        return list(zip(*rows))
 
-    made = with_columns(only(documents, *names), ["text"], FIELDS, compute, piece_vocabulary.cache_clear)
+    made = with_columns(only(documents, *names), ["text"], FIELDS, compute, vocabularies.cache_clear)
     named = split(made, [*names, *(f.name for f in FIELDS)], [*names, *(f.name for f in FIELDS)])
     return named if "lang" in names else named.withColumn("lang", F.lit(None).cast("string"))
 

@@ -54,11 +54,14 @@ def test_counts_equal_brute_force(spark):
 
 def test_measures_equal_the_libraries():
     rng = random.Random(5)
-    pieces, encoding = fertility.Pieces(PIECES), fertility.byte_vocabulary(RANKS, PATTERN)
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    known = fertility.Words(RANKS, PATTERN, PIECES)
+    encoding, model = known.bytes, sentencepiece.SentencePieceProcessor(model_file=PIECES)
     names = [f.name for f in fertility.FIELDS]
-    for text in [t for t in odd_texts(rng) if t and t.strip()]:
-        got = dict(zip(names, fertility.measures(text, encoding, pieces)))
+    texts = [t for t in odd_texts(rng) if t and t.strip(" \t\n")]
+    texts += ["a\u00a0\u00a0 b \u2003 \u2003\u2003 c\u2003", "it's we'll 'd '", "\u3000" * 30 + " x", "\x1c \x85 y"]
+    texts += [prose(rng, rng.randint(1, 400)) for _ in range(30)]
+    for text, values in zip(texts, fertility.measures(texts, known)):
+        got = dict(zip(names, values))
         units = [w[i : i + 1000] for w in re.findall("[^\x20\x09-\x0d]+", text) for i in range(0, len(w), 1000)]
         ids = encoding.encode_ordinary("".join(" " + u for u in units))
         each = [i for u in units for i in model.encode(u)]
@@ -79,10 +82,11 @@ def test_script():
 
 
 def test_repeated_windows_at_their_edges():
-    words = list("abcdefgh")
-    assert fertility.repeated_words(words) == 0 and fertility.repeated_words(words + ["a"]) == 0
-    assert fertility.repeated_words(words * 2) == 16 and fertility.repeated_words(["x"] * 9) == 9
-    assert fertility.repeated_words(words + ["z"] + words + words[:3]) == 16
+    count = lambda words: fertility.repeated_words(np.array([ord(w) for w in words]))
+    words = "abcdefgh"
+    assert count(words) == 0 and count(words + "a") == 0 and count("") == 0
+    assert count(words * 2) == 16 and count("x" * 9) == 9
+    assert count(words + "z" + words + words[:3]) == 16
 
 
 @pytest.fixture
