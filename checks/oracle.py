@@ -442,7 +442,8 @@ ORACLE = {
       json_extract_string(props, '$.' || json_keys(props)[1]) AS value_text FROM events""",
     "flatten_deep": """
       SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'deep' AS key,
-             repeat('[[, ', doc_id % 5 + 5) || CAST(doc_id AS VARCHAR) || repeat(']', doc_id % 5 + 5) AS value_text FROM documents""",
+             repeat('[[, ', n) || CAST(doc_id AS VARCHAR) || repeat(']', n) AS value_text
+      FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 990 ELSE doc_id % 5 + 5 END AS n FROM documents)""",
     "flatten_nested": """
       SELECT doc_id, CAST(pos AS INTEGER) AS pos, key, value_text FROM (
         SELECT doc_id, 0 AS pos, 'a' AS key, lang AS value_text FROM documents WHERE doc_id % 4 = 0

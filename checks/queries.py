@@ -584,8 +584,8 @@ def flatten_nested(spark, sf_dir):
 
 @query
 def flatten_deep(spark, sf_dir):
-    """Arrays nested five to nine levels deep, with brackets inside strings."""
-    doc, levels = F.col("doc_id").cast("string"), (F.col("doc_id") % 5 + 5).cast("int")
+    """Arrays nested five to nine levels deep, one in fifty more than 900, with brackets inside strings."""
+    doc, levels = F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 50 == 7, 990).otherwise(F.col("doc_id") % 5 + 5).cast("int")
     text = F.concat(F.lit('{"deep": '), F.repeat(F.lit('["[", '), levels), doc, F.repeat(F.lit("]"), levels), F.lit("}"))
     return S.flatten_payload(V.table(spark, sf_dir, "documents").select("doc_id", text.alias("payload")), "payload").select(
         "doc_id", "pos", "key", "value_text"

@@ -5,52 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Array levels shown of a stream, whose depth cannot be asked for beforehand.
-STREAM_DEPTH = 16
+# JSON texts are cut into strings, brackets and all else; every repetition is possessive and so not recursive.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+MARKS = STRING + r"|[\[\]{},:]|[^\[\]{},:\"]++"
+#: Stand for an object, and for braces inside strings, while a text is rendered; JSON has these characters escaped.
+OBJECT, BRACES = "\u0001", "\u0002\u0003"
 
 
-def array_depth(json: Column) -> Column:
-    """How deep arrays of a JSON text are nested."""
-    marks = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]"]++', "")
+def _number_text(text: Column) -> Column:
+    """Java's ``1.0E30`` in the plainer form ``1e30``."""
+    return F.regexp_replace(F.replace(text, F.lit("E"), F.lit("e")), r"\.0e", "e")
+
+
+def _unquoted(text: Column) -> Column:
+    """The string that a JSON string stands for."""
+    return F.try_variant_get(F.try_parse_json(text), "$", "string")
+
+
+def _object_depth(marks: Column) -> Column:
+    """How deep objects are nested in each other in a list of marks."""
 
     def step(s: Column, mark: Column) -> Column:
-        now = s["now"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
+        now = s["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(now, s["most"]).alias("most"))
 
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(F.split(marks, ""), start, step)["most"]
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
 
-def _number_text(text: Column) -> Column:
-    """Java's ``1.0E30`` in the plainer form ``1e30``."""
-    return F.regexp_replace(F.replace(text, F.lit("E"), F.lit("e")), r"\.0e", "e")
+def _array_text(json: Column) -> Column:
+    """A JSON array for display, however deep its arrays are nested.
+
+    Brackets need no stack, since they are shown where they stand.  Objects, which are shown
+    by a word, are taken out from the innermost to the outermost: as many passes as they are deep.
+    """
+    marks = F.regexp_extract_all(json, F.lit(MARKS), F.lit(0))
+    is_string = lambda t: F.startswith(t, F.lit('"'))
+    neutral = F.array_join(F.transform(marks, lambda t: F.when(is_string(t), F.translate(t, "{}", BRACES)).otherwise(t)), "")
+    depth = _object_depth(marks)
+    passes = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    flat = F.aggregate(passes, neutral, lambda text, _: F.regexp_replace(text, r"\{[^{}]*+\}", OBJECT))
+    shown = F.transform(
+        F.regexp_extract_all(flat, F.lit(MARKS), F.lit(0)),
+        lambda t: F.when(t == ",", F.lit(", "))
+        .when(t == OBJECT, F.lit("[Object]"))
+        .when(is_string(t), _unquoted(F.translate(t, BRACES, "{}")))
+        .otherwise(_number_text(t)),
+    )
+    return F.array_join(shown, "")
 
 
-def variant_text(v: Column, depth: int) -> Column:
+def variant_text(v: Column) -> Column:
     """One metadata value for display.
 
     Strings as they are, numbers and booleans as text, ``null``, arrays as
-    ``[a, b]``, objects as ``[Object]``.  ``depth`` is that of the data, see
-    ``array_depth``; below it arrays would stay raw JSON.
+    ``[a, b]``, objects as ``[Object]``.
     """
-    kind = F.schema_of_variant(v)
-    scalar = (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit("null"))
-        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-        .when(F.startswith(kind, F.lit("OBJECT<")), F.lit("[Object]"))
-    )
-    if depth > 0:
-        items = F.transform(
-            F.try_variant_get(v, "$", "array<variant>"), lambda e: variant_text(e, depth - 1)
-        )
-        listed = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    else:
-        listed = F.to_json(v)
-    plain = F.try_variant_get(v, "$", "string")
+    json = F.coalesce(F.to_json(v), F.lit("null"))
+    first = F.left(json, F.lit(1))
     return (
-        scalar.when(F.startswith(kind, F.lit("ARRAY<")), listed)
-        .when(kind == "DOUBLE", _number_text(plain))
-        .otherwise(plain)
+        F.when(first == '"', F.try_variant_get(v, "$", "string"))
+        .when(first == "{", F.lit("[Object]"))
+        .when(first == "[", _array_text(json))
+        .otherwise(_number_text(json))
     )
 
 
@@ -58,16 +74,11 @@ def flatten_payload(df: DataFrame, col: str) -> DataFrame:
     """One row per key of the JSON object in ``col``: ``pos``, ``key``, ``value_text``.
 
     Keys come in sorted order.  Text that is JSON but no object, and text that is
-    no JSON, gives one row with a null key and the whole value.  One pass over the
-    data finds how deep its arrays are nested.
+    no JSON, gives one row with a null key and the whole value.  Text nested in more
+    than 1,000 levels counts as no JSON, as Spark's reader takes no more.
     """
-    if df.isStreaming:
-        depth = STREAM_DEPTH
-    else:
-        nested = F.when(F.try_parse_json(F.col(col)).isNotNull(), array_depth(F.col(col)))
-        depth = df.agg(F.max(nested)).first()[0] or 0
     parsed = df.withColumn("__v", F.try_parse_json(F.col(col)))
-    is_object = F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT<"))
+    is_object = F.startswith(F.to_json("__v"), F.lit("{"))
     entries = F.when(is_object, F.try_variant_get("__v", "$", "map<string,variant>"))
     ordered = F.array_sort(F.map_keys(entries))
     whole = F.array(F.lit(None).cast("string"))
@@ -76,7 +87,7 @@ def flatten_payload(df: DataFrame, col: str) -> DataFrame:
         .select("*", F.posexplode(F.coalesce(F.when(is_object, ordered), whole)).alias("pos", "key"))
     )
     value = F.when(
-        F.col("key").isNotNull(), variant_text(F.element_at(F.col("__m"), F.col("key")), depth)
+        F.col("key").isNotNull(), variant_text(F.element_at(F.col("__m"), F.col("key")))
     ).otherwise(F.coalesce(F.to_json("__v"), F.col(col)))
     return exploded.withColumn("value_text", value).drop("__v", "__m")
 

@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,51 @@ def test_flatten_payload(spark):
     }
 
 
+def shown(value):
+    """The display rule, by recursion."""
+    if isinstance(value, list):
+        return "[" + ", ".join(map(shown, value)) + "]"
+    if isinstance(value, dict):
+        return "[Object]"
+    return "null" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def test_flatten_payload_of_any_shape(spark):
+    rng = random.Random(6)
+    texts = ["", "a", "{", "}}", '"', "\\", "[,]", "é\n\t", "\u0001x", "null", ": {}", "a, b"]
+
+    def value(depth):
+        kind = rng.randint(0, 6) if depth else rng.randint(0, 3)
+        if kind < 4:
+            return [rng.choice(texts), rng.randint(-5, 5), None, rng.random() < 0.5][kind]
+        if kind == 4:
+            return {rng.choice(texts): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        return [value(depth - 1) for _ in range(rng.randint(0, 4))]
+
+    values = [[value(6) for _ in range(3)] for _ in range(200)]
+    df = spark.createDataFrame([(i, json.dumps({"k": v})) for i, v in enumerate(values)], "n int, p string")
+    got = {r.n: r.value_text for r in S.flatten_payload(df, "p").collect()}
+    assert got == {i: shown(v) for i, v in enumerate(values)}
+
+
+def test_deep_payloads_beside_flat_ones(spark, tmp_path):
+    def deep(n, inner):
+        return '{"k": ' + "[" * n + inner + "]" * n + "}"
+
+    objects = '{"k": [' + '{"o": ' * 500 + '["}"]' + "}" * 500 + ", 1]}"
+    rows = [(0, deep(1, "1, 2")), (1, deep(80, '"]"')), (2, deep(999, "1.50")), (3, deep(1000, "1")), (4, objects), (5, '{"k": "flat"}')]
+    rows += [(6, '{"k": [' + ",".join(['"a\\\\b"'] * 20_000) + "]}")]
+    df = spark.createDataFrame(rows, "n int, p string")
+    want = {0: "[1, 2]", 1: "[" * 80 + "]" + "]" * 80, 2: "[" * 999 + "1.5" + "]" * 999, 3: rows[3][1], 4: "[[Object], 1]", 5: "flat"}
+    want[6] = "[" + ", ".join(["a\\b"] * 20_000) + "]"
+    assert {r.n: r.value_text for r in S.flatten_payload(df, "p").collect()} == want
+    df.write.parquet(f"{tmp_path}/in")
+    stream = S.flatten_payload(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "p")
+    query = stream.writeStream.format("memory").queryName("flattened").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    query.awaitTermination()
+    assert {r.n: r.value_text for r in spark.table("flattened").collect()} == want
+
+
 def _hits(spark, *ids_and_seconds):
     base = spark.createDataFrame(list(ids_and_seconds), "id string, s long")
     return base.select("id", F.timestamp_seconds("s").alias("timestamp"), *[F.lit("x").cast(f.dataType).alias(f.name) if f.dataType.simpleString() == "string" else F.array(F.lit("i")).alias(f.name) for f in HITS.fields[2:]])
