@@ -50,10 +50,18 @@ BITCOIN = r"^(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71})$"
 ETHEREUM = r"^0x[0-9A-Fa-f]{40}$"
 LONG_FORMS = "|".join((HEX_HASH, ETHEREUM, BITCOIN))
 
-# What a line must contain for a token pattern to be worth trying.
+# Every token, and every character that the token patterns look at beside one, is of one class, so that a token lies
+# within one run of the class.
+RUN = r"[0-9A-Za-z_.:%+@-]++"
+LONG_LEAST = 26
+
+# What a run must contain for a token pattern to be worth trying; MARK_HINT stands for the four that are not long.
 IPV4_HINT = r"[0-9]\.[0-9]"
-IPV6_HINT = r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"
-DOMAIN_HINT = r"\.[0-9A-Za-z-]"
+DOMAIN_HINT = r"\.[0-9A-Za-z._-]"
+MARK_HINT = r"[.:@][0-9A-Za-z_:.-]"
+# A long token that is no hexadecimal number of letters only has a digit.
+DIGIT_HINT = r"[0-9]"
+HEX_HINT = r"[A-Fa-f]{32}"
 
 RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}"

@@ -13,24 +13,32 @@ from .sizing import has_at_most, spread_if_small
 
 CANDIDATE_COLUMNS = ("pos", "match_type", "matched_text", "lookup_key", "family", "ip_bits")
 
-# One regular expression may serve several types.  It is tried only on lines that
-# pass a cheaper test.
+# A line is cut once into runs of the characters that tokens have; the few runs that can hold a token are kept.
+# The patterns of all types then read only these, each the runs with the character or length that its tokens have.
 TOKEN_GROUPS = {
-    "ipv4": (P.IPV4_TOKEN, lambda line: line.rlike(P.IPV4_HINT), (P.IPV4_TYPE,)),
-    "ipv6": (P.IPV6_TOKEN, lambda line: F.contains(line, F.lit("::")) | line.rlike(P.IPV6_HINT), (P.IPV6_TYPE,)),
-    "domain": (P.DOMAIN_TOKEN, lambda line: line.rlike(P.DOMAIN_HINT), (P.DOMAIN_TYPE,)),
-    "email": (P.EMAIL_TOKEN, lambda line: F.contains(line, F.lit("@")), (P.EMAIL_TYPE,)),
+    "ipv4": (P.IPV4_TOKEN, lambda run: run.rlike(P.IPV4_HINT), (P.IPV4_TYPE,)),
+    "ipv6": (P.IPV6_TOKEN, lambda run: F.contains(run, F.lit(":")), (P.IPV6_TYPE,)),
+    "domain": (P.DOMAIN_TOKEN, lambda run: run.rlike(P.DOMAIN_HINT), (P.DOMAIN_TYPE,)),
+    "email": (P.EMAIL_TOKEN, lambda run: F.contains(run, F.lit("@")), (P.EMAIL_TYPE,)),
     "long": (
         P.LONG_TOKEN,
-        lambda line: F.length(line) >= 26,
+        lambda run: F.length(run) >= P.LONG_LEAST,
         (P.MD5_TYPE, P.SHA1_TYPE, P.SHA256_TYPE, P.BITCOIN_TYPE, P.ETHEREUM_TYPE),
     ),
 }
 
 
-def _tokens(line: Column, pattern: str, possible: Callable[[Column], Column]) -> Column:
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    return F.when(possible(line), found).otherwise(F.array().cast("array<string>"))
+def _runs(line: Column) -> Column:
+    """The runs of a line that can hold tokens, in their order."""
+    long = (F.length(line) >= P.LONG_LEAST) & (line.rlike(P.DIGIT_HINT) | line.rlike(P.HEX_HINT))
+    cut = F.filter(
+        F.regexp_extract_all(line, F.lit(P.RUN), F.lit(0)), lambda run: (F.length(run) >= P.LONG_LEAST) | run.rlike(P.MARK_HINT)
+    )
+    return F.when(line.rlike(P.MARK_HINT) | long, cut).otherwise(F.array().cast("array<string>"))
+
+
+def _tokens(runs: Column, pattern: str, possible: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(F.filter(runs, possible), lambda run: F.regexp_extract_all(run, F.lit(pattern), F.lit(0))))
 
 
 def _ipv6_pieces(token: Column) -> Column:
@@ -96,11 +104,11 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
         raise ValueError(f"unknown candidate types: {sorted(unknown)}")
     groups = {g: spec for g, spec in TOKEN_GROUPS.items() if wanted & set(spec[2])}
 
-    line = F.col("line")
-    tokens_of = {g: _tokens(line, p, possible) for g, (p, possible, _) in groups.items()}
+    cut = spread_if_small(lines).select("*", _runs(F.col("line")).alias("__runs")).where(F.size("__runs") > 0)
+    tokens_of = {g: _tokens(F.col("__runs"), p, possible) for g, (p, possible, _) in groups.items()}
     if "ipv6" in tokens_of:
         tokens_of["ipv6"] = F.flatten(F.transform(tokens_of["ipv6"], _ipv6_pieces))
-    tokenised = spread_if_small(lines).select("*", *[tokens.alias(f"__{g}") for g, tokens in tokens_of.items()])
+    tokenised = cut.select("*", *[tokens.alias(f"__{g}") for g, tokens in tokens_of.items()])
     found, start = [], F.lit(0)
     for g in groups:
         tokens = F.col(f"__{g}")

@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from sigtrace.operators.extract import extract
+from sigtrace.functions.patterns import DOMAIN_NAME
+from sigtrace.operators.extract import TOKEN_GROUPS, _ipv6_pieces, _is_valid, _match_type, _trimmed, extract
 
 from .helpers import lines, rows, tlds
 
@@ -115,3 +119,31 @@ def test_time_grows_with_the_length_of_a_line(spark, unit):
 
     seconds(1000)
     assert seconds(1_000_000) < 20 * seconds(100_000) + 2
+
+
+def test_runs_give_what_the_whole_line_gives(spark):
+    """Cutting a line into runs first changes no token, no order and no position."""
+    rng = random.Random(17)
+    parts = [
+        "10.0.0.1", "1.2.3", "fe80::1", "a:b", "::", "x.com", "a..com", "no.", "no..", "word:", "d@y.org", "@", MD5, SHA1.upper(), "a" * 32, "F" * 40,
+        "g" * 70, BTC, ETH, "é", " ", " ", ", ", "/", "-", "_", "%", "+", "(", "\t", "=", "12:30:45", "2001:db8::", ".", ":", "0x", "abcdefabcdef" * 3,
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = lines(spark, *texts)
+    whole = {}
+    for group, (pattern, _, _) in TOKEN_GROUPS.items():
+        tokens = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+        whole[group] = F.flatten(F.transform(tokens, _ipv6_pieces)) if group == "ipv6" else tokens
+    expected = []
+    for row in df.select("line_number", *(c.alias(g) for g, c in whole.items())).collect():
+        pos = 0
+        for group in TOKEN_GROUPS:
+            for token in row[group]:
+                expected.append((row.line_number, pos, group, token))
+                pos += 1
+    one = spark.createDataFrame(expected, "line_number long, pos int, grp string, token string")
+    text = _trimmed(F.col("grp"), F.col("token"))
+    valid = one.withColumn("text", text).where(_is_valid(F.col("grp"), F.col("text"))).withColumn("kind", _match_type(F.col("grp"), F.col("text")))
+    domains = (F.col("grp") != "domain") | (F.lower(F.substring_index("text", ".", -1)).isin("com", "net", "org") & F.col("text").rlike(DOMAIN_NAME))
+    got = rows(extract(df, tlds(spark)), "line_number", "pos", "match_type", "matched_text")
+    assert got == rows(valid.where(domains), "line_number", "pos", "kind", "text") and len(got) > 2000
