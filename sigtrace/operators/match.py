@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from .indicators import FeedProfile, profile_indicators
+from .membership import key_filter, may_be_known
 from .sizing import DEFAULT_LIMITS, Limits, salted_join
 from .staging import stage
 
@@ -102,13 +103,13 @@ def _probed(candidates: DataFrame, profile: FeedProfile) -> DataFrame:
 
 
 def _literal_matches(candidates: DataFrame, literals: DataFrame, tags: tuple[str, ...], limits: Limits) -> DataFrame:
-    """Candidates beside the literals they equal; distinct texts meet the literals, occurrences the outcome."""
+    """Candidates beside the literals they equal; only those that a filter of all literals lets pass are shuffled."""
     texts = candidates.where(F.col("family").isNull())
     keys = probes(tags, F.col("lookup_key"), F.col("family"), F.col("ip_bits"))
-    distinct = texts.select("lookup_key", "family", "ip_bits").distinct().select("lookup_key", F.explode(keys).alias("probe"))
-    known = salted_join(distinct, literals, "probe", ["lookup_key"], limits).drop("probe")
+    known, words = key_filter(literals, "probe")
+    passed = stage(may_be_known(texts.select("*", F.explode(keys).alias("probe")), "probe", known, words))
     place = [c for c in candidates.columns if c not in ("lookup_key", "family", "ip_bits", "line")]
-    return salted_join(texts, known, "lookup_key", place or ["lookup_key"], limits)
+    return salted_join(passed, literals, "probe", place or ["lookup_key"], limits)
 
 
 def match(

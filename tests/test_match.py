@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigtrace.functions.patterns import CASE_INSENSITIVE
 from sigtrace.operators.indicators import profile_indicators
 from sigtrace.operators.sizing import Limits, salted_join
+from sigtrace.operators.staging import stage
 from sigtrace.plans.hits import lookup, scan
 
 from .helpers import feed, lines, rows, tlds
@@ -164,3 +165,38 @@ def test_a_feed_without_literals_or_without_others(spark):
         want = rows(scan(df, indicators, tlds(spark)), "id", "matched_text")
         for n in (0, 1, 2, 20):
             assert rows(scan(df, indicators, tlds(spark), limits=Limits(broadcast_rows=n)), "id", "matched_text") == want
+
+
+def test_candidates_without_a_match_are_not_shuffled(spark, monkeypatch):
+    """Of 20,000 texts that no literal equals only the filter's few errors go on, beside all that one does."""
+    from sigtrace.operators import match as M
+
+    went_on = []
+    monkeypatch.setattr(M, "stage", lambda df: went_on.append(stage(df)) or went_on[-1])
+    entries = [f"n{i}.com" for i in range(5000)] + ["10.0.0.0/8"]
+    known, others = [f"n{i}.com" for i in range(0, 5000, 50)], [f"o{i}.com" for i in range(20_000)]
+    indicators = feed(spark, entries)
+    df = lines(spark, *[" ".join(others[i : i + 100]) for i in range(0, 20_000, 100)], " ".join(known * 2))
+    columns = ("id", "matched_text", "matched_indicators")
+    got = rows(scan(df, indicators, tlds(spark), limits=Limits(broadcast_rows=10)), *columns)
+    assert got == rows(scan(df, indicators, tlds(spark)), *columns) and len(got) == 200
+    texts, passed = went_on
+    assert texts.count() == 20_200 and 200 <= passed.count() < 200 + 0.05 * 20_000
+
+
+def test_key_filter_keeps_every_key_at_any_size(spark, monkeypatch):
+    from sigtrace.operators import membership
+
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    others = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("key"))
+    for most in (membership.MOST_WORDS, 64):  # the second is far too small and lets nearly all pass
+        monkeypatch.setattr(membership, "LEAST_WORDS", 16)
+        monkeypatch.setattr(membership, "MOST_WORDS", most)
+        known, words = membership.key_filter(keys, "key")
+        assert words <= most and known.count() <= words
+        assert membership.may_be_known(keys, "key", known, words).count() == 20_000
+        passed = membership.may_be_known(others, "key", known, words)
+        assert passed.columns == ["key"] and (most == 64 or passed.count() < 1000)
+        assert "Exchange hashpartitioning(key" not in passed._jdf.queryExecution().executedPlan().toString()
+    none, words = membership.key_filter(keys.limit(0), "key")
+    assert membership.may_be_known(others, "key", none, words).count() == 0
