@@ -10,15 +10,15 @@ from .indicators import feed_counts
 from .sizing import broadcast_if_small
 
 
-def monitor_stats(lines: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
-    """Lines, extracted items, hits and time of the last hit per ``monitor_id``.
+def monitor_counts(lines: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """Lines, extracted items, hits and time of the last hit per ``monitor_id``, the time as ``last_hit``.
 
     ``hits`` must carry ``monitor_id`` (``keep=["monitor_id"]`` of the scan).
     """
     one = F.count(F.lit(1))
     by_lines = lines.groupBy("monitor_id").agg(one.alias("lines_processed"))
     by_items = candidates.groupBy("monitor_id").agg(one.alias("items_extracted"))
-    by_hits = hits.groupBy("monitor_id").agg(one.alias("hits_found"), F.max("timestamp").alias("__last"))
+    by_hits = hits.groupBy("monitor_id").agg(one.alias("hits_found"), F.max("timestamp").alias("last_hit"))
     return (
         by_lines.join(by_items, "monitor_id", "left")
         .join(by_hits, "monitor_id", "left")
@@ -27,11 +27,27 @@ def monitor_stats(lines: DataFrame, candidates: DataFrame, hits: DataFrame) -> D
             "lines_processed",
             F.coalesce("items_extracted", F.lit(0)).alias("items_extracted"),
             F.coalesce("hits_found", F.lit(0)).alias("hits_found"),
-            F.date_format("__last", "HH:mm:ss").alias("last_activity"),
+            "last_hit",
         )
     )
 
 
+def shown_counts(counts: DataFrame) -> DataFrame:
+    """Counters with the time of day of the last hit as ``last_activity``."""
+    return counts.withColumn("last_activity", F.date_format("last_hit", "HH:mm:ss")).drop("last_hit")
+
+
+def monitor_stats(lines: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """Counters of ``monitor_counts`` for display."""
+    return shown_counts(monitor_counts(lines, candidates, hits))
+
+
+def summed_counts(counts: DataFrame, *keys: str) -> DataFrame:
+    """Counters of several batches as one row for each of ``keys``."""
+    total = [F.sum(c).alias(c) for c in ("lines_processed", "items_extracted", "hits_found")]
+    return counts.groupBy(*keys).agg(*total, F.max("last_hit").alias("last_hit"))
+
+
 def enabled_lines(lines: DataFrame, monitors: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
     """Lines of enabled monitors; none at all when ``feeds`` is given and empty."""
     enabled = monitors.where("enabled").select("monitor_id").distinct()

@@ -62,6 +62,8 @@ HITS = table(
     log_line=TEXT,
 )
 
+COUNTS = table(run_id=TEXT, monitor_id=TEXT, lines_processed=LONG, items_extracted=LONG, hits_found=LONG, last_hit=TIME)
+
 CATALOG = table(path=TEXT, is_auto_updated=FLAG, sha256=TEXT)
 
 ARTIFACT = table(url=TEXT, sha256=TEXT, size=LONG, signature=TEXT)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import HITS
 
 
-def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Hits saved under ``path``; an empty table when there are none."""
+def read_hits(spark: SparkSession, *paths: str) -> DataFrame:
+    """Hits saved under ``paths``; an empty table when there are none."""
     try:
-        return spark.read.schema(HITS).option("recursiveFileLookup", "true").parquet(path)
+        return spark.read.schema(HITS).option("recursiveFileLookup", "true").parquet(*paths)
     except AnalysisException:
         return spark.createDataFrame([], HITS)

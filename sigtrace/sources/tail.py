@@ -14,6 +14,7 @@ option                 meaning
 ``maxBytesPerBatch``   bytes a micro-batch takes from all files, default 1 GiB
 ``partitionBytes``     bytes per task, default 64 MiB
 ``failOnDataLoss``     fail when planned bytes are gone (default) or skip them
+``positionLog``        folder of this query alone (beside its checkpoint) for its positions
 =====================  =========================================================
 
 The offset holds, per file, the end of what has been read and fingerprints of
@@ -27,8 +28,13 @@ check the fingerprint first.
 The byte limit is dealt out over the files that have something new, those that
 waited longest first, so no busy file holds up another; a line longer than a share
 is taken whole.  Spark does not tell a source where a restarted query stands before
-it asks for the newest offset: there the first batch takes what was written while
-the query was down, and the limit holds from the second one on.  The offset is
+it asks for the newest offset.  With ``positionLog`` the source keeps the end of every batch
+it plans there, goes on from it, and the limit holds in the first batch as well;
+without it that batch takes what was written while the query was down.  Spark notes a
+batch before it is planned and plans an unfinished one anew before it asks for the next,
+so the log never falls behind a batch that was run; of its two files, written in turn, one
+is whole whenever the writer dies.  A new query ignores what an older one left there.  Spark
+runs an ``availableNow`` query over a Python source as one batch, to which the limit then applies.  The offset is
 proportional to the number of files present: use the built-in file source for
 archives of closed files.
 """
@@ -37,6 +43,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -138,6 +145,8 @@ class TailReader(DataSourceStreamReader):
         self.strict = options.get("failondataloss", "true").lower() == "true"
         if self.starting not in ("latest", "earliest"):
             raise ValueError(f"startingPosition must be latest or earliest, not {self.starting}")
+        self.positions = options.get("positionlog")
+        self.written = 0
         self.last: dict | None = None
         self.seen: dict[str, tuple[int, int]] = {}
         self.served: dict[str, int] = {}
@@ -151,12 +160,15 @@ class TailReader(DataSourceStreamReader):
         return {} if self.starting == "earliest" else dict(self.last)
 
     def latestOffset(self) -> dict:
+        if self.last is None:  # a restarted query
+            self.last = self._logged()
         self.last = self._ends(self.last)
         return dict(self.last)
 
     def partitions(self, start: dict, end: dict) -> list[TailRange]:
         if self.last is None:
             self.last = dict(end)
+        self._log(end)
         fs, _ = self._filesystem()
         ranges: list[TailRange] = []
         for path, e in end.items():
@@ -166,7 +178,9 @@ class TailReader(DataSourceStreamReader):
             try:
                 with fs.open_input_file(path) as f:
                     self._check(f, path, e["size"], e["hash"])
-                    same = s is not None and s["end"] <= e["end"] and self._is_same(f, s)
+                    same = s is not None and self._is_same(f, s)
+                    if same and s["end"] > e["end"]:
+                        raise DataLoss("positionLog is older than the checkpoint; remove it")
             except (OSError, DataLoss) as problem:
                 if self.strict:
                     raise DataLoss(f"{path}: {problem}") from problem
@@ -180,6 +194,39 @@ class TailReader(DataSourceStreamReader):
     def commit(self, end: dict) -> None:
         pass
 
+    def _log(self, end: dict) -> None:
+        """Keeps the end of a planned batch, in one of two files by turns."""
+        if not self.positions:
+            return
+        fs, folder = pafs.FileSystem.from_uri(self.positions)
+        if not self.written:
+            self.written = max((n for n, _ in self._log_files()), default=0)
+            fs.create_dir(folder, recursive=True)
+        self.written += 1
+        body = json.dumps(end).encode()
+        head = f"{self.written} {hashlib.sha256(body).hexdigest()}\n".encode()
+        with fs.open_output_stream(f"{folder}/{self.written % 2}") as f:
+            f.write(head + body)
+
+    def _log_files(self) -> list[tuple[int, dict]]:
+        """Number and positions of each whole file of the log."""
+        fs, folder = pafs.FileSystem.from_uri(self.positions)
+        found = []
+        for name in "01":
+            try:
+                with fs.open_input_file(f"{folder}/{name}") as f:
+                    head, _, body = f.read().partition(b"\n")
+            except FileNotFoundError:
+                continue
+            number, _, digest = head.decode("ascii", "replace").partition(" ")
+            if hashlib.sha256(body).hexdigest() == digest:
+                found.append((int(number), json.loads(body)))
+        return found
+
+    def _logged(self) -> dict | None:
+        """Where the last planned batch ended, None without a log."""
+        return max(self._log_files(), default=(0, None), key=lambda f: f[0])[1] if self.positions else None
+
     def _filesystem(self):
         return pafs.FileSystem.from_uri(self.path)
 

@@ -150,3 +150,77 @@ def test_two_monitors_on_one_path_get_their_own_hits(spark, tmp_path):
     hits = scan(lines, feed(spark, ["evil.com"]), tlds(spark))
     assert [r.matched_indicators for r in hits.collect()] == [["pattern_0"]] * 2
     assert hits.select("id").distinct().count() == 2
+
+
+def run_once(spark, tmp_path, *texts, **options):
+    """One run of a stream over a folder to which a file with ``texts`` is added."""
+    logs = tmp_path / "logs"
+    logs.mkdir(exist_ok=True)
+    if texts:
+        (logs / f"{len(list(logs.iterdir()))}.log").write_text("\n".join(texts) + "\n")
+    out, indicators = str(tmp_path / "out"), feed(spark, ["evil.com", "10.0.0.0/8"])
+    stream = read_log_stream(spark, str(logs), "m", "*.log", max_files=1)
+    finish(scan_stream(stream, lambda: indicators, tlds(spark), out, str(tmp_path / "state"), {"availableNow": True}, **options))
+    return out
+
+
+def test_alerts_of_a_failed_write_come_once_after_a_restart(spark, tmp_path, monkeypatch):
+    from sigtrace.streaming import scan as body
+
+    def broken(hits):
+        raise OSError("no space")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(body, "alerts", broken)
+        out = run_once(spark, tmp_path, "evil.com", "10.1.1.1")
+        run_once(spark, tmp_path, "evil.com again")
+    assert stored_alerts(spark, out) is None and stored_hits(spark, out).count() == 3
+    run_once(spark, tmp_path)  # nothing new: the start of the query alone brings them
+    assert rows(stored_alerts(spark, out), "title") == [("Intelligence Hit: Domain",)] * 2 + [("Intelligence Hit: IPv4",)]
+    run_once(spark, tmp_path, "evil.com")
+    assert stored_alerts(spark, out).count() == stored_hits(spark, out).count() == 4
+
+
+def test_last_activity_over_midnight(spark, tmp_path):
+    from sigtrace.operators.counters import monitor_counts, shown_counts, summed_counts
+
+    lines = spark.createDataFrame([("a",), ("b",)], "monitor_id string")
+    batches = []
+    for moment in ("2024-05-01 23:59:50", "2024-05-02 00:00:10"):
+        hits = spark.sql(f"SELECT 'a' AS monitor_id, TIMESTAMP '{moment}' AS timestamp")
+        batches.append(monitor_counts(lines, lines, hits))
+    both = shown_counts(summed_counts(batches[0].union(batches[1]), "monitor_id"))
+    assert rows(both, "monitor_id", "lines_processed", "hits_found", "last_activity") == [("a", 2, 2, "00:00:10"), ("b", 2, 0, None)]
+
+
+def test_batches_are_folded_and_nothing_is_lost(spark, tmp_path, monkeypatch):
+    from sigtrace.streaming import store
+
+    monkeypatch.setattr(store, "FOLD", 3)
+    folder = f"{tmp_path}/hits/stream=s"
+    most = 0
+    for n in range(40):
+        spark.range(n, n + 1).write.mode("overwrite").parquet(f"{folder}/batch_id={n}")
+        if n % 3 == 2:
+            store.fold(spark, folder, n, waiting=lambda batch: batch == 4 and n < 12)
+        most = max(most, len(store.children(spark, folder)))
+        if n % 7 == 0:
+            assert rows(spark.read.parquet(*store.live(spark, f"{tmp_path}/hits")), "id") == [(i,) for i in range(n + 1)]
+    assert rows(spark.read.parquet(*store.live(spark, f"{tmp_path}/hits")), "id") == [(i,) for i in range(40)]
+    assert most <= 18 and len(store.live(spark, f"{tmp_path}/hits")) <= 8
+    # a batch that was folded and is run again changes nothing; one that broke off does not count
+    spark.range(37, 38).write.mode("overwrite").parquet(f"{folder}/batch_id=37")
+    (tmp_path / "hits" / "stream=s" / "batch_id=40").mkdir()
+    assert rows(spark.read.parquet(*store.live(spark, f"{tmp_path}/hits")), "id") == [(i,) for i in range(40)]
+
+
+def test_a_stream_folds_its_tables(spark, tmp_path, monkeypatch):
+    from sigtrace.streaming import store
+
+    monkeypatch.setattr(store, "FOLD", 2)
+    for i in range(5):
+        out = run_once(spark, tmp_path, f"10.0.0.{i}")
+    assert rows(stored_hits(spark, out), "matched_text") == [(f"10.0.0.{i}",) for i in range(5)]
+    assert stored_alerts(spark, out).count() == 5
+    assert rows(running_counters(spark, out), "monitor_id", "lines_processed", "hits_found") == [("m", 5, 5)]
+    assert all(len(store.live(spark, f"{out}/{t}")) == 2 for t in ("hits", "alerts", "counters"))

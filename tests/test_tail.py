@@ -166,3 +166,59 @@ def test_unchanged_files_are_not_opened(tmp_path, monkeypatch):
     a = r.latestOffset()
     monkeypatch.setattr(r, "_is_same", lambda *_: pytest.fail("opened"))
     assert r.latestOffset() == a
+
+
+def test_restarted_reader_goes_on_from_its_log_within_the_limit(tmp_path):
+    logs, log = tmp_path / "logs", tmp_path / "log"
+    logs.mkdir()
+    options = {"startingPosition": "earliest", "maxBytesPerBatch": 55, "positionLog": log}
+    append(logs / "a.log", b"0123456789\n" * 5)
+    r = reader(logs, **options)
+    at = r.initialOffset()
+    end = r.latestOffset()
+    got = lines_between(r, at, end)
+    append(logs / "a.log", b"9876543210\n" * 200)
+    for _ in range(40):  # the reader starts anew for every batch
+        r, at = reader(logs, **options), end
+        end = r.latestOffset()
+        batch = lines_between(r, at, end)
+        assert len(batch) == 5
+        got += batch
+    assert len(set(got)) == 205
+    torn = sorted(log.iterdir(), key=lambda f: int(f.read_bytes().split(b" ")[0]))[-1]
+    torn.write_bytes(torn.read_bytes()[:20])  # the writer died: Spark plans that batch anew before it asks for more
+    r = reader(logs, **options)
+    assert lines_between(r, at, end) == sorted(batch) and r.latestOffset() == end
+    assert reader(logs, **options).initialOffset() == {}  # a new query does not look there
+
+
+def test_log_older_than_the_checkpoint_is_told(tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    append(logs / "a.log", b"one\ntwo\n")
+    r = reader(logs, startingPosition="earliest", maxBytesPerBatch=4)
+    r.initialOffset()
+    first, second = r.latestOffset(), r.latestOffset()
+    with pytest.raises(Exception, match="positionLog"):
+        r.partitions(second, first)
+
+
+def test_stream_restarts_within_the_byte_limit(spark, tmp_path):
+    register_tail(spark)
+    logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    logs.mkdir()
+    append(logs / "a.log", b"".join(b"line %05d\n" % i for i in range(30)))
+
+    def run():
+        lines = (
+            spark.readStream.format("tail").option("path", str(logs)).option("startingPosition", "earliest")
+            .option("maxBytesPerBatch", "55").option("positionLog", f"{state}-positions").load()
+        )
+        q = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted(r.line for r in spark.read.parquet(out).collect())
+
+    assert len(run()) == 30  # a query's very first batch has no log to go on from
+    append(logs / "a.log", b"".join(b"line %05d\n" % i for i in range(30, 45)))
+    for n in (35, 40, 45):
+        assert run() == [f"line {i:05}" for i in range(n)]
