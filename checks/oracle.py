@@ -266,6 +266,11 @@ ORACLE = {
         select="""SELECT path, string_agg(line, chr(10) ORDER BY line_number) AS tail FROM (
           SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number DESC) AS r FROM lines_documents) WHERE r <= 3 GROUP BY path""",
     ),
+    "tail_log_files": sql(
+        LOG_FILES,
+        select="""SELECT path, string_agg(line, chr(10) ORDER BY line_number) AS tail FROM (
+          SELECT *, max(line_number) OVER (PARTITION BY path) AS m FROM log_files) WHERE line_number > m - 50 GROUP BY path""",
+    ),
     "tail_lines_long": sql(
         LOG_FILES,
         select="""SELECT path, md5(string_agg(line, chr(10) ORDER BY line_number)) AS tail_md5 FROM (
@@ -363,6 +368,29 @@ ORACLE = {
         indicators("derived_text"), candidates("full_lines"), hits("candidates", PLACE),
         select="SELECT matched_text, match_type, 'text' AS database_id, indicators, payload FROM hits",
     ),
+    "tail_stream": sql(
+        LINES_DOCUMENTS, HOSTS, "m_lines AS (SELECT * REPLACE ('m' AS monitor_id) FROM lines_documents)",
+        indicators("derived_text", "derived_ip"), candidates("m_lines"), hits("candidates", PLACE, "path"),
+        select="""SELECT matched_text, match_type, replace(database_id, 'derived_', '') AS database_id, indicators, payload FROM hits
+          WHERE CAST(path AS BIGINT) % 2 = 1 OR database_id = 'derived_text'""",
+    ),
+    "counters_over_midnight": sql(
+        LINES_DOCUMENTS, HOSTS, indicators("derived_ip", "derived_text"), candidates("lines_documents"), hits("candidates", PLACE, "monitor_id, event_ts"),
+        select="""SELECT monitor_id, lines_processed, CAST(coalesce(i, 0) AS BIGINT) AS items_extracted, CAST(coalesce(h, 0) AS BIGINT) AS hits_found,
+            strftime(t + INTERVAL 86000 SECOND, '%H:%M:%S') AS last_activity
+          FROM (SELECT monitor_id, count(*) AS lines_processed FROM lines_documents GROUP BY 1)
+          LEFT JOIN (SELECT monitor_id, count(*) AS i FROM candidates GROUP BY 1) USING (monitor_id)
+          LEFT JOIN (SELECT monitor_id, count(*) AS h, max(event_ts) AS t FROM hits GROUP BY 1) USING (monitor_id)""",
+    ),
+    "manifest_read": """
+      SELECT source AS channel, 'f' || doc_id AS name, lang AS version, 1 AS format_version, 'https://feeds/' || doc_id AS url,
+             sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents""",
+    "inventory_files": """
+      SELECT source AS path, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS sha256, left(hex(t), 10) AS head
+      FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)""",
+    "catalog_file": """
+      SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 = 0 AS is_auto_updated, CASE WHEN doc_id % 3 = 0 THEN sha256(text) END AS sha256 FROM documents""",
+    "build_epochs": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id ELSE -1 END AS built FROM events",
     "publish_unload": sql(LINES_DOCUMENTS, HOSTS, indicators("derived_globs"), select="SELECT feed_id, pattern_id, entry, kind, data FROM indicators"),
     "feed_list": sql(
         LINES_DOCUMENTS, HOSTS, indicators("net", "derived_text", "derived_globs"),

@@ -24,8 +24,9 @@ from sigtrace.schemas import MANIFEST
 from sigtrace.sources import artifacts as A
 from sigtrace.sources import catalog as K
 from sigtrace.sources.feeds import indicators_from, load_feed
-from sigtrace.sources.logs import name_matches, read_log_lines, read_log_stream
-from sigtrace.streaming.scan import scan_stream, stored_hits
+from sigtrace.sources.logs import name_matches, read_log_lines, read_log_stream, tail_files
+from sigtrace.sources.tail import register_tail
+from sigtrace.streaming.scan import running_counters, scan_stream, stored_hits
 
 from . import views as V
 
@@ -75,7 +76,16 @@ def lines_documents(spark, sf_dir):
 
 @query
 def tail_lines(spark, sf_dir):
-    return L.tail_lines(V.lines_documents(spark, sf_dir, keep_empty=True), 3)
+    """Of every document as a text of its own, cut from the end."""
+    tail = L.last_lines(F.col("text"), 3)
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), tail.alias("tail")).where("tail is not null")
+
+
+@query
+def tail_log_files(spark, sf_dir):
+    """The last 50 lines of each source's log file, read from its end."""
+    tails = tail_files(spark, V.log_files(spark, sf_dir), 50, recursive=True)
+    return V.lines_files(tails)
 
 
 @query
@@ -346,6 +356,42 @@ def scan_logs_stream(spark, sf_dir):
     )
 
 
+@query
+def tail_stream(spark, sf_dir):
+    """Hits of a query over growing logs that is stopped, gets more files and a second feed, and goes on."""
+    register_tail(spark)
+    root = f"{shared_folder(spark).rstrip('/')}/tail-{uuid.uuid4().hex}"
+    docs = V.table(spark, sf_dir, "documents")
+    feeds = current_feeds(spark, root)
+    for part, name in enumerate(("text", "ip")):
+        docs.where(F.col("doc_id") % 2 == part).select("text").coalesce(4).write.mode("append").text(f"{root}/logs")
+        feeds = publish_feed(feed(spark, sf_dir, f"derived_{name}"), feeds, name, "1", root, auto_updated=False)
+        lines = (
+            spark.readStream.format("tail").option("path", f"{root}/logs").option("pathGlobFilter", "*.txt").option("startingPosition", "earliest")
+            .option("monitorId", "m").option("positionLog", f"{root}/positions").load()
+        )
+        scan_stream(lines, lambda: current_indicators(spark, root), V.tlds(spark), f"{root}/out", f"{root}/state", {"availableNow": True}).awaitTermination()
+    return stored_hits(spark, f"{root}/out").select(
+        "matched_text", "match_type", "database_id", F.array_join("matched_indicators", ", ").alias("indicators"), F.array_join("data", ", ").alias("payload")
+    )
+
+
+@query
+def counters_over_midnight(spark, sf_dir):
+    """Running counters of five stored batches, the later documents' hits on the next day."""
+    folder = f"{shared_folder(spark).rstrip('/')}/counted-{uuid.uuid4().hex}"
+    lines = V.lines_documents(spark, sf_dir).withColumn("event_ts", F.col("event_ts") + F.make_dt_interval(secs=F.lit(86_000)))
+    found = stage(extract(lines, V.tlds(spark)).drop("line"))
+    hits = stage(
+        match_candidates(found, feed(spark, sf_dir, "derived_ip", "derived_text"), hit_time=F.col("event_ts"), keep=["monitor_id", "path"])
+    )
+    for batch in range(5):
+        part = F.col("path").cast("long") % 5 == batch
+        counts = C.monitor_counts(lines.where(part), found.where(part), hits.where(part)).withColumn("run_id", F.lit("r"))
+        counts.write.parquet(f"{folder}/counters/stream=s/batch_id={batch}")
+    return running_counters(spark, folder)
+
+
 @query
 def publish_unload(spark, sf_dir):
     """The store after a publish, the unloading of the only feed and another publish."""
@@ -441,6 +487,50 @@ def catalog_totals(spark, sf_dir):
     return C.totals(feeds, monitors)
 
 
+@query
+def manifest_read(spark, sf_dir):
+    """A manifest file for each source, with a feed for each of its documents."""
+    path = f"{shared_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
+    full = F.struct(F.concat(F.lit("https://feeds/"), "doc_id").alias("url"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    each = F.struct(F.concat(F.lit("f"), "doc_id").alias("name"), F.col("lang").alias("version"), F.lit(1).alias("format_version"), full.alias("full"))
+    rows = V.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("channel")).agg(F.collect_list(each).alias("databases"))
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+    return A.read_manifest(spark, path).select("channel", "name", "version", "format_version", "url", "sha256", "size")
+
+
+@query
+def inventory_files(spark, sf_dir):
+    """Size, hash and first bytes of each source's log file."""
+    found = A.file_inventory(spark, V.log_files(spark, sf_dir), recursive=True)
+    return V.lines_files(found)
+
+
+@query
+def catalog_file(spark, sf_dir):
+    """A catalog of all documents, written in lists of 150 and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    feeds = V.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("path"),
+        (F.col("doc_id") % 3 == 0).alias("is_auto_updated"),
+        F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).alias("sha256"),
+    )
+    K.write_catalog(feeds, path, entries=150)
+    return K.read_catalog(spark, path)
+
+
+@query
+def build_epochs(spark, sf_dir):
+    """The build time of feed metadata: whole numbers count, negative ones, decimals and texts do not."""
+    number = F.col("event_id").cast("string")
+    text = (
+        F.when(F.col("event_id") % 4 == 0, number)
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("-"), number))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit('"'), number, F.lit('"')))
+        .otherwise(F.concat(number, F.lit(".5")))
+    )
+    return V.table(spark, sf_dir, "events").select("event_id", known(S.build_epoch(F.parse_json(text))).alias("built"))
+
+
 # -- catalog and updates -------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip_bits
 from ..functions import patterns as P
-from .sizing import has_at_most, spread_if_small
+from .sizing import joined_in_chunks, spread_if_small
 
 CANDIDATE_COLUMNS = ("pos", "match_type", "matched_text", "lookup_key", "family", "ip_bits")
 
@@ -142,14 +142,9 @@ def extract(lines: DataFrame, tlds: DataFrame, types: Iterable[str] | None = Non
 def _with_known_tld(rows: DataFrame, tlds: DataFrame) -> DataFrame:
     known = tlds.select(F.lower("tld").alias("__last"), F.lit(True).alias("__known")).distinct()
     is_domain = F.col("match_type") == P.DOMAIN_TYPE
-    last_label = F.when(is_domain, F.lower(F.substring_index("matched_text", ".", -1)))
-    if has_at_most(known, 100_000):
-        known = F.broadcast(known)
-    else:  # others spread over all tasks under keys that no table has; a hot label can be split at run time
-        last_label = F.coalesce(last_label, F.concat(F.lit(" "), "matched_text"))
+    labelled = rows.withColumn("__last", F.when(is_domain, F.lower(F.substring_index("matched_text", ".", -1))))
     return (
-        rows.withColumn("__last", last_label)
-        .join(known, "__last", "left")
+        joined_in_chunks(labelled, known, ["__last"], ["__known"])
         .where(~is_domain | (F.col("__known") & F.col("matched_text").rlike(P.DOMAIN_NAME)))
         .drop("__last", "__known")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import plan_bytes
+from .sizing import joined_in_chunks, plan_bytes
 
 MOVED = "input splits changed between the counting and the numbering pass"
 
@@ -47,7 +47,7 @@ def number_file_rows(df: DataFrame, name: str) -> DataFrame:
     """
     pin_splits(df.sparkSession)
     start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
-    return _number_rows(df, start, length, name, split_bound(df) <= 1_000_000)
+    return _number_rows(df, start, length, name, split_bound(df))
 
 
 def number_batch_rows(batch: DataFrame, name: str) -> DataFrame:
@@ -55,27 +55,27 @@ def number_batch_rows(batch: DataFrame, name: str) -> DataFrame:
 
     ``batch`` must be persisted and come straight from the files.
     """
-    splits = batch.select("path", "block").distinct()
-    few = splits.limit(1_000_001).count() <= 1_000_000
-    return _number_rows(batch, F.col("block.start"), F.col("block.length"), name, few).drop("block")
+    splits = batch.select("path", "block").distinct().count()
+    return _number_rows(batch, F.col("block.start"), F.col("block.length"), name, splits).drop("block")
 
 
-def _number_rows(df: DataFrame, start: Column, length: Column, name: str, few_splits: bool) -> DataFrame:
-    split = ["path", "__start", "__length"]
-    tagged = df.select(
-        "*", start.alias("__start"), length.alias("__length"), F.monotonically_increasing_id().alias("__mid")
-    )
-    sizes = tagged.groupBy(*split).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first")
-    )
-    shifts = sizes.select(
-        *split, (_rows_before(["path"], ["__start"]) - F.col("__first") + 1).alias("__shift")
-    )
+def _number_rows(df: DataFrame, start: Column, length: Column, name: str, splits: int) -> DataFrame:
+    """Rows with their split's shift, which comes by broadcast: in one, or for millions of splits in several.
+
+    A split is named by two hashes of its file and place, so a million of them are some 50 MB.
+    """
+    place = ("path", "__start", "__length")
+    split = ["__split", "__check"]
+    tagged = df.select("*", start.alias("__start"), length.alias("__length"), F.monotonically_increasing_id().alias("__mid"))
+    sizes = tagged.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    shift = _rows_before(["path"], ["__start"]) - F.col("__first") + 1
+    names = [F.xxhash64(*place).alias("__split"), F.xxhash64(F.lit(1), *place).alias("__check")]
+    shifts = sizes.select(*names, shift.alias("__shift"))
     known = F.coalesce("__shift", F.raise_error(F.lit(MOVED)).cast("long"))
     return (
-        tagged.join(F.broadcast(shifts) if few_splits else shifts, split, "left")
+        joined_in_chunks(tagged.select("*", *names), shifts, split, ["__shift"], splits)
         .withColumn(name, F.col("__mid") + known)
-        .drop("__start", "__length", "__mid", "__shift")
+        .drop("__start", "__length", "__mid", "__shift", *split)
     )
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -49,6 +51,28 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Rows of a table that go out in one broadcast where it is sent in several.
+CHUNK_ROWS = 1_000_000
+
+
+def joined_in_chunks(left: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``left`` with the ``values`` of ``table``, nulls where it has no such keys; ``left`` is never shuffled.
+
+    ``table`` has its keys once and values without nulls.  It goes out in broadcasts of some ``CHUNK_ROWS``
+    rows, one after the other, as many as its size asks for; where that is more than one it is written first.
+    """
+    rows = table.count() if rows is None else rows
+    chunks = max(1, -(-rows // CHUNK_ROWS))
+    table = stage(table) if chunks > 1 else table
+    out = left
+    for i in range(chunks):
+        part = table if chunks == 1 else table.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == i)
+        named = part.select(*keys, *(F.col(v).alias(f"__chunk{i}_{v}") for v in values))
+        out = out.join(F.broadcast(named), list(keys), "left")
+    found = [F.coalesce(*(f"__chunk{i}_{v}" for i in range(chunks))).alias(v) for v in values]
+    return out.select(*left.columns, *found)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -10,6 +10,10 @@ from ..operators.sizing import broadcast_if_small
 from ..schemas import CATALOG
 
 
+#: Feeds in one list of a saved catalog.
+ENTRIES = 10_000
+
+
 def parse_catalog(texts: DataFrame, column: str = "value") -> DataFrame:
     """Catalog rows of JSON texts: ``path``, ``is_auto_updated``, ``sha256``.
 
@@ -54,10 +58,19 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return parse_catalog(texts)
 
 
-def write_catalog(feeds: DataFrame, path: str) -> None:
-    """Save path, flag and hash of each feed as one JSON list."""
+def write_catalog(feeds: DataFrame, path: str, entries: int = ENTRIES) -> None:
+    """Save path, flag and hash of each feed as a JSON list; of more than ``entries`` feeds as several, one a file.
+
+    Every list has some ``entries`` feeds and is written by a task of its own.  ``read_catalog`` reads them all.
+    """
     entry = F.struct("path", "is_auto_updated", "sha256")
-    feeds.agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value")).write.mode("overwrite").text(path)
+    text = F.to_json(F.sort_array(F.collect_list(entry))).alias("value")
+    lists = -(-feeds.count() // entries)
+    if lists > 1:
+        rows = feeds.groupBy(F.pmod(F.xxhash64("path"), F.lit(lists)).alias("list")).agg(text).select("value")
+    else:
+        rows = feeds.agg(text)
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def split_existing(catalog: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +73,43 @@ def read_log_lines(
     return labelled if keep_empty else labelled.where(F.length("line") > 0)
 
 
+def tail_files(spark: SparkSession, path: str, n: int, recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """The last ``n`` lines of every file under ``path`` joined by newlines: ``path``, ``tail``; none of an empty file.
+
+    Files are listed by Spark and read from their ends by the tasks, in growing blocks until the
+    lines are found, so the bytes read do not depend on how long a file is.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", _glob_filter(pattern)).load(path).where("length > 0").select("path", "length")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, place = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+                with fs.open_input_file(place) as stream:
+                    tails.append(tail_of(stream, size, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails, pa.string())], names=["path", "tail"])
+
+    return files.mapInArrow(run, "path string, tail string")
+
+
+def tail_of(stream, size: int, n: int, block: int = 1 << 16) -> str:
+    """The last ``n`` lines of the first ``size`` bytes; a ``\\r`` before the ``\\n`` that ends a line is no part of it."""
+    blocks, end, breaks = [], size, 0
+    while end > 0 and breaks <= n:
+        start = max(0, end - block)
+        stream.seek(start)
+        blocks.append(stream.read(end - start))
+        breaks += blocks[-1].count(b"\n")
+        end, block = start, min(2 * block, 1 << 24)
+    *ended, rest = b"".join(reversed(blocks)).split(b"\n")
+    lines = [line.removesuffix(b"\r") for line in ended[-n:]] + ([rest] if rest else [])
+    return b"\n".join(lines[-n:]).decode("utf-8", "replace")
+
+
 def read_log_stream(
     spark: SparkSession,
     directory: str,

@@ -150,6 +150,16 @@ def test_recent_hits_cap_order_and_dedupe(spark):
     assert [r.id for r in recent_hits(twice, n=1).collect()] == ["a"]
 
 
+def test_recent_hits_with_many_repeats(spark):
+    """Repeats that fill the first rows taken are read past; of equal ids and times the greatest row stays."""
+    hits = _hits(spark, *[("hot", i) for i in range(300)], *[("same", 400)] * 200, *[(f"r{i}", i) for i in range(5)])
+    marked = hits.withColumn("source", F.when(F.col("id") == "same", F.monotonically_increasing_id().cast("string")).otherwise(F.col("source")))
+    for n in (1, 2, 4, 50):
+        got = [tuple(r) for r in recent_hits(marked, marked, n=n).collect()]
+        assert got == [tuple(r) for r in dedupe_hits(marked).orderBy(F.desc("timestamp"), "id").limit(n).collect()]
+    assert recent_hits(marked.limit(0), n=5).count() == 0
+
+
 def test_alert_text(spark):
     row = alerts(_hits(spark, ("a", 1))).first()
     assert row.title == "Intelligence Hit: x" and row.body == "Matched: x\nSource: x"

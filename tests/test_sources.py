@@ -1,15 +1,16 @@
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from sigtrace.functions.patterns import CASE_INSENSITIVE
-from sigtrace.operators.lines import split_lines, tail_lines
+from sigtrace.operators.lines import last_lines, split_lines, tail_lines
 from sigtrace.sources.artifacts import file_inventory, read_manifest, updates_available, verify_artifacts
 from sigtrace.sources.catalog import read_catalog, split_existing, write_catalog
 from sigtrace.sources.feeds import load_feed, read_tlds
 from sigtrace.sources.hits import read_hits
-from sigtrace.sources.logs import read_log_lines
+from sigtrace.sources.logs import read_log_lines, tail_files, tail_of
 
 from .helpers import rows
 
@@ -177,3 +178,83 @@ def test_updates(spark, tmp_path, installed, available):
 
 def test_missing_hit_store_is_empty(spark, tmp_path):
     assert read_hits(spark, str(tmp_path / "none")).count() == 0
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def by_hand(data, n):
+    *ended, rest = data.split(b"\n")
+    lines = [line.removesuffix(b"\r") for line in ended] + ([rest] if rest else [])
+    return b"\n".join(lines[-n:]).decode()
+
+
+TAILS = [b"", b"\n", b"a", b"a\n", b"a\r\nb\r\n", b"a\r\nb\r", b"\n\n\n", b"a\n\nb\n\n", b"\r\n", b"x" * 300 + b"\n" + "é".encode() * 200]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50])
+def test_last_lines_of_texts_and_files(spark, tmp_path, n):
+    for data in TAILS:
+        assert tail_of(io.BytesIO(data), len(data), n, block=7) == by_hand(data, n), data
+    texts = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(TAILS)] + [(99, None)], "i int, t string")
+    got = dict(rows(texts.select("i", last_lines(F.col("t"), n).alias("tail")).where("tail is not null"), "i", "tail"))
+    assert got == {i: by_hand(t, n) for i, t in enumerate(TAILS) if t}
+    for i, data in enumerate(TAILS):
+        (tmp_path / f"{i}.log").write_bytes(data)
+    files = {int(r.path.rsplit("/", 1)[1].split(".")[0]): r.tail for r in tail_files(spark, str(tmp_path), n, pattern="*.log").collect()}
+    assert files == got
+
+
+def test_bytes_read_do_not_depend_on_the_length_of_a_file():
+    taken = []
+    for lines in (10_000, 400_000):
+        stream = Counted(b"".join(b"line %06d\n" % i for i in range(lines)))
+        assert tail_of(stream, len(stream.getvalue()), 5).endswith(f"line {lines - 1:06}")
+        taken.append(stream.taken)
+    assert taken[0] == taken[1] == 1 << 16
+
+
+def test_crlf_in_numbered_lines(spark):
+    texts = spark.createDataFrame([("p", "a\r\nb\r\n")], "path string, t string")
+    assert rows(tail_lines(split_lines(texts, "t", keep_empty=True), 2), "tail") == [("a\nb",)]
+
+
+def test_numbering_is_the_same_plan_for_millions_of_splits(spark, tmp_path, monkeypatch):
+    """Either side of a broadcast's size the text stays where it is, and the numbers are right."""
+    from sigtrace.operators import numbering, sizing
+
+    for name in "abc":
+        (tmp_path / f"{name}.log").write_text("".join(f"{name}{i}\n" for i in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for splits, rows_a_chunk in ((900_000, 1_000_000), (1_500_000, 1_000_000), (8, 3)):
+            monkeypatch.setattr(numbering, "split_bound", lambda df, n=splits: n)
+            monkeypatch.setattr(sizing, "CHUNK_ROWS", rows_a_chunk)
+            lines = read_log_lines(spark, str(tmp_path), "m")
+            assert rows(lines, "line", "line_number") == sorted((f"{n}{i}", i) for n in "abc" for i in range(1, 3001))
+            plan = lines._jdf.queryExecution().executedPlan().toString()
+            moved = [row for row in plan.splitlines() if "Exchange" in row and "Broadcast" not in row and "value" in row]
+            assert "SortMergeJoin" not in plan and not moved
+            assert plan.count("BroadcastHashJoin") == -(-splits // rows_a_chunk)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_table_goes_out_in_chunks(spark, monkeypatch):
+    from sigtrace.operators import sizing
+
+    left = spark.range(1000).select((F.col("id") % 90).alias("k"), "id")
+    table = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = rows(left.join(table, "k", "left"), "k", "id", "v")
+    for n in (1000, 7):
+        monkeypatch.setattr(sizing, "CHUNK_ROWS", n)
+        got = sizing.joined_in_chunks(left, table, ["k"], ["v"])
+        assert got.columns == ["k", "id", "v"] and rows(got.fillna(-1), "k", "id", "v") == rows(left.join(table, "k", "left").fillna(-1), "k", "id", "v")
+        assert "hashpartitioning(k" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(want) == 1000
