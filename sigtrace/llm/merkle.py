@@ -1,9 +1,14 @@
 """Fixity audit of WARC replicas with Merkle trees over ordered offset ranges.
 
-Records are hashed one by one; the hashes of a range of offsets, in order, make a
-leaf, ``FANOUT`` neighbours make the node above, up to one root for each file.  Two
-replicas are compared from the roots down: only children of differing nodes are read
-at each level, and only records of differing ranges are compared one by one.
+A file holds its records in the order of their names, which are hashes of content.  Records are
+hashed one by one; the records whose names begin with the same bits stand in one range of
+offsets, and the hashes of a range, with offsets counted from its start, make a leaf.
+``FANOUT`` neighbours make the node above, up to one root for each file.  Ranges
+are thus cut by content: a lost, added or cut record changes its own leaf and the
+nodes above, and leaves behind it stay as they are though they stand elsewhere in the file.  Two replicas
+are compared from the roots down: only children of differing nodes are read
+at each level, and only records of differing ranges are compared one by one.  That
+everything behind a place has moved is told once for each file.
 
 Equal records of a file stand next to each other and are held as one entry with its
 number of copies, so that no range grows with repeated captures.  Null columns of a
@@ -20,8 +25,12 @@ from sigtrace.operators.staging import stage
 
 from .rows import only
 
-#: Records of a file in expectation, bytes of a leaf range, children of a node.
-RECORDS, RANGE, FANOUT = 1000, 1 << 18, 8
+#: Records of a file in expectation, records of a leaf range in expectation, bits of a name that each level tells apart.
+RECORDS, RANGE, BITS = 1000, 8, 3
+#: Children of a node.
+FANOUT = 1 << BITS
+#: Bits of a name that are looked at, the first 15 hexadecimal digits.
+NAME_BITS = 60
 
 
 def layout(pages: DataFrame, records: int = RECORDS) -> DataFrame:
@@ -69,97 +78,111 @@ def fixity(laid_out: DataFrame) -> DataFrame:
     return entries.select("file", "record_id", offset.alias("offset"), "length", "copies", "digest")
 
 
-def leaf_of(offset: Column, size: int) -> Column:
-    return F.floor(offset / size).cast("long")
+def node_of(record_id: Column, level: int) -> Column:
+    """The number of a record's node, ``level`` levels below the root; numbers follow the order of names."""
+    number = F.conv(F.substring(record_id, 1, NAME_BITS // 4), 16, 10).cast("long")
+    return F.shiftright(number, NAME_BITS - BITS * level)
 
 
-def leaves(entries: DataFrame, size: int = RANGE) -> DataFrame:
-    """(file, node, hash) of offset ranges; a record belongs to the range of its first byte."""
-    text = F.concat_ws(":", "offset", "length", "copies", "digest")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", text.alias("text")))), lambda e: e["text"])
-    hashed = F.sha2(F.array_join(ordered, ",").cast("binary"), 256)
-    return entries.groupBy("file", leaf_of(F.col("offset"), size).alias("node")).agg(hashed.alias("hash"))
+def leaves(entries: DataFrame, level: int) -> DataFrame:
+    """(file, node, hash) of ranges of records, offsets counted from the first of them."""
+    ordered = F.array_sort(F.collect_list(F.struct("offset", "record_id", "length", "copies", "digest")))
+    text = lambda e, first: F.concat_ws(":", e["offset"] - first, e["record_id"], e["length"], e["copies"], e["digest"])
+    grouped = entries.groupBy("file", node_of(F.col("record_id"), level).alias("node")).agg(ordered.alias("range"))
+    joined = F.array_join(F.transform("range", lambda e: text(e, F.col("range")[0]["offset"])), ",")
+    return grouped.select("file", "node", F.sha2(joined.cast("binary"), 256).alias("hash"))
 
 
-def above(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def above(nodes: DataFrame) -> DataFrame:
     """The next level: each node hashes its children's numbers and hashes in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda e: F.concat_ws(":", e["node"], e["hash"]))
-    return nodes.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(
-        F.sha2(F.array_join(ordered, ",").cast("binary"), 256).alias("hash")
-    )
+    return nodes.groupBy("file", F.shiftright("node", BITS).alias("node")).agg(F.sha2(F.array_join(ordered, ",").cast("binary"), 256).alias("hash"))
 
 
-def tree(entries: DataFrame, levels: int, size: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
+def tree(entries: DataFrame, levels: int) -> list[DataFrame]:
     """Levels from the leaves to one root for each file."""
-    out = [stage(leaves(entries, size))]
+    out = [stage(leaves(entries, levels))]
     for _ in range(levels):
-        out.append(above(out[-1], fanout))
+        out.append(above(out[-1]))
     return out
 
 
-def height(entries: list[DataFrame], size: int = RANGE, fanout: int = FANOUT) -> int:
-    """Levels above the leaves that bring the longest file to one node."""
-    last = max((e.agg(F.max("offset")).first()[0] or 0) for e in entries) // size
+def height(entries: list[DataFrame], records: int = RANGE) -> int:
+    """Levels below the root that leave some ``records`` in a leaf of the longest file."""
+    longest = max((e.groupBy("file").count().agg(F.max("count")).first()[0] or 0) for e in entries)
     levels = 0
-    while last:
-        last //= fanout
-        levels += 1
+    while longest > records and levels < NAME_BITS // BITS:
+        longest, levels = longest / FANOUT, levels + 1
     return levels
 
 
-def differing(one: DataFrame, other: DataFrame, parents: DataFrame | None, fanout: int) -> DataFrame:
+def differing(one: DataFrame, other: DataFrame, parents: DataFrame | None) -> DataFrame:
     """(file, node) with unequal or one-sided hashes, among the children of ``parents``."""
     sides = []
     for side, nodes in enumerate((one, other)):
         if parents is not None:
             wanted = parents.withColumnRenamed("node", "parent")
-            nodes = nodes.withColumn("parent", F.floor(F.col("node") / fanout).cast("long")).join(wanted, ["file", "parent"], "left_semi")
+            nodes = nodes.withColumn("parent", F.shiftright("node", BITS)).join(wanted, ["file", "parent"], "left_semi")
         sides.append(nodes.select("file", "node", F.col("hash").alias(f"hash_{side}")))
     joined = sides[0].join(sides[1], ["file", "node"], "full")
     return joined.where(~F.col("hash_0").eqNullSafe(F.col("hash_1"))).select("file", "node")
 
 
-def audit(expected: DataFrame, found: DataFrame, size: int = RANGE, fanout: int = FANOUT) -> DataFrame:
+def suspects(expected: DataFrame, found: DataFrame, records: int = RANGE) -> tuple[DataFrame, int]:
+    """The leaves (file, node) that differ, found from the roots down, and their level."""
+    levels = height([expected, found], records)
+    trees = [tree(e, levels) for e in (expected, found)]
+    nodes = None
+    for level in range(levels, -1, -1):
+        nodes = stage(differing(trees[0][level], trees[1][level], nodes))
+    return nodes, levels
+
+
+def audit(expected: DataFrame, found: DataFrame, records: int = RANGE) -> DataFrame:
     """file, record_id, status, expected_offset, found_offset, length of every record that differs.
 
     ``expected`` and ``found`` are tables of ``fixity``.  Status: ``corrupt`` (other
-    bytes), ``missing``, ``extra``, ``moved`` (same bytes at another offset) or
-    ``copies`` (stored more or less often).  Equal replicas give no rows.
+    bytes), ``missing``, ``extra`` or ``copies`` (stored more or less often).  A file in which records
+    stand elsewhere because of such a one has one more row, ``shifted``, with the first record
+    that moves the others: where it ends in both replicas, and as length how much longer the found
+    file is in all (shorter: negative).  Equal replicas give no rows.
     """
     expected, found = stage(expected), stage(found)
-    levels = height([expected, found], size, fanout)
-    trees = [tree(e, levels, size, fanout) for e in (expected, found)]
-    suspects = None
-    for level in range(levels, -1, -1):
-        suspects = stage(differing(trees[0][level], trees[1][level], suspects, fanout))
+    nodes, level = suspects(expected, found, records)
     keys = ["file", "record_id", "digest"]
     sides = []
     for side, entries in enumerate((expected, found)):
-        touched = entries.withColumn("node", leaf_of(F.col("offset"), size)).join(suspects, ["file", "node"], "left_semi")
+        touched = entries.withColumn("node", node_of(F.col("record_id"), level)).join(nodes, ["file", "node"], "left_semi")
         sides.append(touched.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("offset", "length", "copies"))))
     pairs = sides[0].join(sides[1], keys, "full")
     lost, gained = F.col("offset_1").isNull(), F.col("offset_0").isNull()
-    moved = F.col("offset_0") != F.col("offset_1")
     recounted = F.col("copies_0") != F.col("copies_1")
-    records = pairs.groupBy("file", "record_id").agg(
+    size = lambda side: F.coalesce(F.sum(F.col(f"length_{side}") * F.col(f"copies_{side}")), F.lit(0))
+    compared = pairs.groupBy("file", "record_id").agg(
         F.max(lost).alias("lost"),
         F.max(gained).alias("gained"),
-        F.max(moved).alias("moved"),
         F.max(recounted).alias("recounted"),
         F.min("offset_0").alias("expected_offset"),
         F.min("offset_1").alias("found_offset"),
         F.min(F.coalesce("length_0", "length_1")).alias("length"),
+        size(0).alias("size_0"),
+        size(1).alias("size_1"),
     )
     status = (
         F.when(F.col("lost") & F.col("gained"), "corrupt")
         .when(F.col("lost"), "missing")
         .when(F.col("gained"), "extra")
         .when(F.col("recounted"), "copies")
-        .when(F.col("moved"), "moved")
     )
-    return records.withColumn("status", status).where("status is not null").select(
-        "file", "record_id", "status", "expected_offset", "found_offset", "length"
+    rows = stage(compared.withColumn("status", status).where("status is not null"))
+    # nothing before the first record of another size has moved, so it begins at one place in both replicas
+    begins = F.coalesce("expected_offset", "found_offset")
+    first = F.min(F.struct("record_id", (begins + F.col("size_0")).alias("ends_0"), (begins + F.col("size_1")).alias("ends_1")))
+    moved = rows.where("size_0 <> size_1").groupBy("file").agg(first.alias("first"), F.sum(F.col("size_1") - F.col("size_0")).alias("length"))
+    shifts = moved.select(
+        "file", "first.record_id", F.lit("shifted").alias("status"), F.col("first.ends_0").alias("expected_offset"), F.col("first.ends_1").alias("found_offset"), "length"
     )
+    return rows.select(*shifts.columns).unionByName(shifts)
 
 
 def aged(laid_out: DataFrame) -> DataFrame:

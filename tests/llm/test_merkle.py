@@ -28,18 +28,38 @@ def by_hand(laid_out):
 
 
 def status(one, other):
+    """{(file, record_id, status): (expected, found, length)} of the plain comparison of all records."""
     found = {}
-    for file, name in {k[:2] for k in [*one, *other]}:
-        a = {k[2]: v for k, v in one.items() if k[:2] == (file, name)}
-        b = {k[2]: v for k, v in other.items() if k[:2] == (file, name)}
-        if a == b:
-            continue
-        lost, gained = set(a) - set(b), set(b) - set(a)
-        kind = "corrupt" if lost and gained else "missing" if lost else "extra" if gained else "copies" if any(a[d][2] != b[d][2] for d in a) else "moved"
-        found[(file, name)] = kind
+    for file in {k[0] for k in [*one, *other]}:
+        shift = None
+        for name in sorted({k[1] for k in [*one, *other] if k[0] == file}):
+            a = {k[2]: v for k, v in one.items() if k[:2] == (file, name)}
+            b = {k[2]: v for k, v in other.items() if k[:2] == (file, name)}
+            sizes = [sum(length * n for _, length, n in x.values()) for x in (a, b)]
+            lost, gained = set(a) - set(b), set(b) - set(a)
+            kind = "corrupt" if lost and gained else "missing" if lost else "extra" if gained else "copies" if any(a[d][2] != b[d][2] for d in a) else ""
+            if not kind:
+                assert (shift is None) == all(a[d][0] == b[d][0] for d in a) or shift
+                continue
+            start = [min((v[0] for v in x.values()), default=None) for x in (a, b)]
+            lengths = [v[1] for v in [*a.values(), *b.values()]]
+            found[file, name, kind] = (*start, min(lengths))
+            if sizes[0] != sizes[1] and shift is None:
+                at = start[0] if start[0] is not None else start[1]
+                shift = (file, name, "shifted"), (at + sizes[0], at + sizes[1])
+        if shift:
+            total = sum(v[1] * v[2] for k, v in other.items() if k[0] == file) - sum(v[1] * v[2] for k, v in one.items() if k[0] == file)
+            found[shift[0]] = (*shift[1], total)
     return found
 
 
+def rows_of(audited):
+    rows = audited.collect()
+    out = {(r.file, r.record_id, r.status): (r.expected_offset, r.found_offset, r.length) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
 def test_fixity_and_audit_equal_the_plain_comparison(spark, monkeypatch):
     monkeypatch.setattr(M, "RECORDS", 200)
     written = M.layout(pages(spark), 200).cache()
@@ -49,28 +69,50 @@ def test_fixity_and_audit_equal_the_plain_comparison(spark, monkeypatch):
     one, other = by_hand(written.collect()), by_hand(damaged.collect())
     got = {(r.file, r.record_id, r.digest): (r.offset, r.length, r.copies) for r in M.fixity(written).collect()}
     assert got == one
-    for size, fanout in ((M.RANGE, M.FANOUT), (4096, 3)):
-        rows = M.audit(M.fixity(written), M.fixity(damaged), size, fanout).collect()
-        assert {(r.file, r.record_id): r.status for r in rows} == status(one, other) and len(rows) == len(status(one, other))
-    assert {"corrupt", "missing", "extra", "moved", "copies"} == {r.status for r in rows}
+    for records in (M.RANGE, 1, 10_000):
+        found = rows_of(M.audit(M.fixity(written), M.fixity(damaged), records))
+        assert found == status(one, other)
+    assert {"corrupt", "missing", "extra", "shifted", "copies"} == {kind for _, _, kind in found}
+
+
+def test_one_lost_record_gives_one_row_and_one_shift(spark):
+    """The leaves behind it are the same in both replicas, so one leaf of one file is read."""
+    written = M.layout(pages(spark), 200)
+    entries = M.fixity(written).cache()
+    victim = entries.where("file = 1").orderBy("record_id").take(20)[10]
+    damaged = M.fixity(written.where(F.col("record_id") != victim.record_id))
+    leaves, level = M.suspects(entries, damaged)
+    assert level >= 2 and leaves.count() == 1
+    assert rows_of(M.audit(entries, damaged)) == {
+        (1, victim.record_id, "missing"): (victim.offset, None, victim.length),
+        (1, victim.record_id, "shifted"): (victim.offset + victim.length, victim.offset, -victim.length),
+    }
 
 
 def test_only_differing_branches_are_descended(spark):
     written = M.layout(pages(spark), 200)
     entries = M.fixity(written).cache()
     changed = entries.withColumn("digest", F.when(F.col("record_id") == entries.first().record_id, "0").otherwise(F.col("digest")))
-    levels = M.height([entries], 4096, 3)
+    levels = M.height([entries], 1)
     assert levels >= 3
-    one, other = (M.tree(e, levels, 4096, 3) for e in (entries, changed))
+    one, other = (M.tree(e, levels) for e in (entries, changed))
     parents = None
     for level in range(levels, -1, -1):
-        parents = M.differing(one[level], other[level], parents, 3)
+        parents = M.differing(one[level], other[level], parents)
         assert parents.count() == 1
 
 
+def test_leaves_read_follow_the_damage(spark):
+    entries = M.fixity(M.layout(pages(spark), 200)).cache()
+    for n in (1, 3, 9):
+        names = [r.record_id for r in entries.orderBy("digest").limit(n).collect()]
+        cut = entries.withColumn("length", F.when(F.col("record_id").isin(names), F.col("length") - 1).otherwise(F.col("length")))
+        assert M.suspects(entries, cut)[0].count() <= n
+
+
 def test_equal_replicas_and_empty_tables(spark):
     entries = M.fixity(M.layout(pages(spark)))
     assert M.audit(entries, entries).count() == 0
     none = M.fixity(M.layout(pages(spark).limit(0)))
     assert M.audit(none, none).count() == 0
-    assert {r.status for r in M.audit(entries, none).collect()} == {"missing"}
+    assert {r.status for r in M.audit(entries, none).collect()} == {"missing", "shifted"}
