@@ -190,26 +190,36 @@ DIGESTS = [
 ]
 
 
-def canonical(line: Column) -> Column:
-    """A line's canonical words, empty for a copyright line."""
-    marked = F.lower(line)
+def names_an_owner(line: Column) -> Column:
+    """Whether a line as written is a copyright line or only reserves rights."""
+    return (line.rlike(COPYRIGHT) & ~line.rlike(NO_COPYRIGHT)) | line.rlike(RESERVED)
+
+
+def with_lines(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` but for text, with n, the number of its lines, and ``lines``.
+
+    ``lines`` holds (at, text) of the lines that have canonical words; ``at`` counts from 1.  The canonical
+    text is a column of its own on the way, so that it is made once.
+    """
+    marked = F.lower("text")
     for sign in ("©", "(c)"):
         marked = F.replace(marked, F.lit(sign), F.lit(" copyright "))
-    plain = F.regexp_replace(marked, r"[^\p{L}\p{N}]+", " ")
+    plain = F.regexp_replace(marked, r"[^\p{L}\p{N}\n]+", " ")
     for spelling, usual in SPELLINGS:
         plain = F.replace(plain, F.lit(spelling), F.lit(usual))
-    # a quick search goes before the two patterns
-    named = (F.contains(marked, F.lit("copyright")) & line.rlike(COPYRIGHT) & ~line.rlike(NO_COPYRIGHT)) | (
-        F.contains(marked, F.lit("reserved")) & line.rlike(RESERVED)
+    some = lambda t: F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("reserved"))
+    # the lines as written are looked at only in texts, and there in lines, that have one of two words
+    kept = F.zip_with(
+        F.split("plain", "\n"), F.split("text", "\n"), lambda line, raw: F.when(some(line) & names_an_owner(raw), F.lit("")).otherwise(F.trim(line))
     )
-    return F.when(named, F.lit("")).otherwise(F.trim(plain))
+    cut = F.when(some(F.col("plain")), kept).otherwise(F.transform(F.split("plain", "\n"), F.trim))
+    numbered = F.filter(F.transform("cut", lambda line, i: F.struct((i + 1).cast("long").alias("at"), line.alias("text"))), lambda x: x["text"] != "")
+    rest = [c for c in rows.columns if c != "text"]
+    return rows.withColumn("plain", plain).select(*rest, cut.alias("cut")).select(*rest, F.size("cut").alias("n"), numbered.alias("lines"))
 
 
-def canonical_lines(text: Column) -> Column:
-    """(at, text, words) of the lines of a text that have canonical words; ``at`` counts from 1."""
-    each = F.transform(F.split(text, "\n"), lambda line, i: F.struct((i + 1).cast("long").alias("at"), canonical(line).alias("text")))
-    some = F.filter(each, lambda line: line["text"] != "")
-    return F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), F.size(F.split(x["text"], " ")).alias("words")))
+def words_of(line: Column) -> Column:
+    return F.size(F.split(line, " "))
 
 
 def joined(lines: Column) -> Column:
@@ -222,8 +232,8 @@ def digest(text: Column) -> Column:
 
 def known_texts(texts: DataFrame) -> DataFrame:
     """(license_id, head, words, digest) of licence texts (license_id, text), by the same functions."""
-    rows = only(texts, "license_id", "text").select("license_id", joined(canonical_lines(F.col("text"))).alias("text")).where("text <> ''")
-    words = F.size(F.split("text", " "))
+    rows = with_lines(only(texts, "license_id", "text")).select("license_id", joined(F.col("lines")).alias("text")).where("text <> ''")
+    words = words_of(F.col("text"))
     return rows.select("license_id", F.substring_index("text", " ", HEAD).alias("head"), words.alias("words"), digest(F.col("text")).alias("digest")).distinct()
 
 
@@ -242,8 +252,7 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     Repeated documents are reported as often as they stand in ``documents``.  ``known`` is a table as
     of ``known_texts``; one of (license_id, digest) alone is looked up by whole texts and single lines.
     """
-    rows = only(documents, "doc_id", "text").select("doc_id", canonical_lines(F.col("text")).alias("lines"), F.size(F.split("text", "\n")).alias("n"))
-    rows = rows.where(F.size("lines") > 0)
+    rows = with_lines(only(documents, "doc_id", "text"))
     whole = F.struct(F.lit(0).cast("long").alias("line"), F.col("n").cast("long").alias("n_lines"), joined(F.col("lines")).alias("text"))
     if known is not None and "head" not in known.columns:
         table = broadcast_if_small(only(known, "license_id", "digest"))
@@ -253,38 +262,50 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
         table = built_in(documents.sparkSession) if known is None else only(known, "license_id", "head", "words", "digest")
         if not has_at_most(table, MOST_KNOWN):
             raise ValueError(f"at most {MOST_KNOWN} known texts with heads")
-        units = rows.select("doc_id", F.inline(F.array(whole))).unionByName(runs(rows, table))
+        units = units_of(rows, table)
         table = F.broadcast(table.select("license_id", "digest").distinct())  # MOST_KNOWN rows at most
-    return units.select("doc_id", "line", "n_lines", digest(F.col("text")).alias("digest")).join(table, "digest").select(
-        "doc_id", "line", "n_lines", "license_id", "digest"
-    )
+    found = units.where("text <> ''").select("doc_id", "line", "n_lines", digest(F.col("text")).alias("digest"))
+    return found.join(table, "digest").select("doc_id", "line", "n_lines", "license_id", "digest")
 
 
-def runs(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, line, n_lines and text of the runs of lines that begin like a known text and have as many words."""
+def units_of(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, line, n_lines and text of whole texts, and of the runs of lines that begin like a known text and have as many words."""
     sizes = table.select("head", "words").distinct()
     longest = {r["head"]: r["most"] for r in sizes.groupBy("head").agg(F.max("words").alias("most")).collect()}
-    counts = sorted({h.count(" ") + 1 for h in longest})
-    if not longest:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("n_lines"), F.lit("").alias("text")).limit(0)
-    most = F.create_map(*(F.lit(x) for pair in sorted(longest.items()) for x in pair))
+    counts = sorted({h.count(" ") + 1 for h in longest}) or [HEAD]
+    most = F.create_map(*(F.lit(x) for pair in (sorted(longest.items()) or [("", 0)]) for x in pair))
+
+    def head(line: Column, i: Column, n: int) -> Column:
+        """The first words from a line on, in most cases its own."""
+        own = F.substring_index(line, " ", n)
+        on = joined(F.slice("lines", i + 1, n))  # every line has a word at least
+        return F.when(own != line, own).otherwise(F.substring_index(on, " ", n))
 
-    def begun(_, i: Column) -> Column:
+    def begun(line: Column, i: Column) -> Column:
         """What follows line i, as far as the longest text that begins like it goes."""
-        start = joined(F.slice("lines", i + 1, HEAD))  # every line has a word at least
-        heads = F.array_distinct(F.array(*(F.substring_index(start, " ", n) for n in counts)))
+        heads = F.array_distinct(F.array(*(head(line["text"], i, n) for n in counts)))
         fitting = F.filter(heads, lambda h: h.isin(sorted(longest)))
         return F.transform(fitting, lambda h: F.struct(h.alias("head"), F.slice("lines", i + 1, F.element_at(most, h)).alias("rest")))
 
-    found = rows.select("doc_id", F.inline(F.flatten(F.transform("lines", begun)))).join(F.broadcast(sizes), "head")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("head"), F.col("lines").alias("rest")))
+    # one generator for both, so that the lines are made once
+    each = rows.select("doc_id", "n", F.inline(F.concat(whole, F.flatten(F.transform("lines", begun)))))
+    sized = each.join(F.broadcast(sizes.withColumnRenamed("head", "begins")), F.col("head") == F.col("begins"), "left")
 
     def step(s: Column, line: Column) -> Column:
         on = s["words"] < F.col("words")
-        return F.struct((s["words"] + F.when(on, line["words"]).otherwise(0)).alias("words"), (s["lines"] + on.cast("int")).alias("lines"))
+        return F.struct((s["words"] + F.when(on, words_of(line["text"])).otherwise(0)).alias("words"), (s["lines"] + on.cast("int")).alias("lines"))
 
     none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    reached = found.withColumn("reached", F.aggregate("rest", none, step)).where("reached.words = words")
-    run = F.slice("rest", F.lit(1), F.col("reached.lines"))
-    first, last = F.col("run")[0]["at"], F.element_at("run", -1)["at"]
-    cut = reached.select("doc_id", run.alias("run"))
-    return cut.select("doc_id", first.alias("line"), (last - first + 1).alias("n_lines"), joined(F.col("run")).alias("text"))
+    is_whole = F.col("head").isNull()
+    reached = sized.withColumn("reached", F.when(~is_whole, F.aggregate("rest", none, step)))
+    fits = reached.where(is_whole | (F.col("reached.words") == F.col("words")))
+    run = F.when(is_whole, F.col("rest")).otherwise(F.slice("rest", F.lit(1), F.col("reached.lines")))
+    first, last = F.get("run", F.lit(0))["at"], F.get("run", F.size("run") - 1)["at"]
+    cut = fits.select("doc_id", "n", is_whole.alias("whole"), run.alias("run"))
+    return cut.select(
+        "doc_id",
+        F.when(F.col("whole"), F.lit(0)).otherwise(first).cast("long").alias("line"),
+        F.when(F.col("whole"), F.col("n")).otherwise(last - first + 1).cast("long").alias("n_lines"),
+        joined(F.col("run")).alias("text"),
+    )
