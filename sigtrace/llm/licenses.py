@@ -212,7 +212,7 @@ def with_lines(rows: DataFrame) -> DataFrame:
     kept = F.zip_with(
         F.split("plain", "\n"), F.split("text", "\n"), lambda line, raw: F.when(some(line) & names_an_owner(raw), F.lit("")).otherwise(F.trim(line))
     )
-    cut = F.when(some(F.col("plain")), kept).otherwise(F.transform(F.split("plain", "\n"), F.trim))
+    cut = F.when(some(F.col("plain")), kept).otherwise(F.transform(F.split("plain", "\n"), lambda line: F.trim(line)))
     numbered = F.filter(F.transform("cut", lambda line, i: F.struct((i + 1).cast("long").alias("at"), line.alias("text"))), lambda x: x["text"] != "")
     rest = [c for c in rows.columns if c != "text"]
     return rows.withColumn("plain", plain).select(*rest, cut.alias("cut")).select(*rest, F.size("cut").alias("n"), numbered.alias("lines"))
