@@ -82,3 +82,26 @@ def suffix_key(glob: Column) -> Column:
     """``X`` for a glob that is exactly ``*.X`` with a literal ``X``, else null."""
     rest = glob.substr(F.lit(3), F.length(glob))
     return F.when(F.startswith(glob, F.lit("*.")) & (rest != "") & ~rest.rlike(GLOB_MARKS), rest)
+
+
+def is_pieces(glob: Column) -> Column:
+    """Whether a glob is made of literal pieces and ``*`` alone."""
+    return ~F.contains(glob, F.lit("?")) & ~F.contains(glob, F.lit("["))
+
+
+def pieces_match(text: Column, glob: Column) -> Column:
+    """Whether a text matches a glob of pieces: its first and last one at the ends, the others between, in order.
+
+    Each piece is looked for behind the one before, at its first place, so no expression is compiled for a pair.
+    """
+    parts = F.split(glob, r"\*", -1)
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: p != "")
+
+    def behind(at: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, text, at)
+        return F.when((at > 0) & (found > 0), found + F.length(piece)).otherwise(F.lit(0))
+
+    reached = F.aggregate(inner, F.length(first) + 1, behind)
+    ends = F.startswith(text, first) & F.endswith(text, last)
+    return F.when(F.size(parts) == 1, text == glob).otherwise(ends & (reached > 0) & (reached - 1 <= F.length(text) - F.length(last)))

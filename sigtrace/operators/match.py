@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.globs import is_pieces, pieces_match
 from .indicators import FeedProfile, profile_indicators
 from .membership import key_filter, may_be_known
 from .sizing import DEFAULT_LIMITS, Limits, salted_join
@@ -75,9 +76,12 @@ def probes(tags: tuple[str, ...], text: Column, family: Column, bits: Column) ->
 
 
 def _confirmed(joined: DataFrame) -> DataFrame:
-    text = F.when(F.col("mode") == P.CASE_INSENSITIVE, F.lower("lookup_key")).otherwise(F.col("lookup_key"))
+    """Pairs whose glob really matches: by its pieces, or by its expression where it has one-character places."""
+    folded = F.col("mode") == P.CASE_INSENSITIVE
+    text = F.when(folded, F.lower("lookup_key")).otherwise(F.col("lookup_key"))
+    glob = F.when(folded, F.lower("entry")).otherwise(F.col("entry"))
     settled = F.col("glob_re").isNull() | F.startswith("probe_tag", F.lit("L"))
-    return joined.where(settled | F.rlike(text, F.col("glob_re")))
+    return joined.where(settled | F.when(is_pieces(glob), pieces_match(text, glob)).otherwise(F.rlike(text, F.col("glob_re"))))
 
 
 def _grouped(matches: DataFrame, candidate: list[str]) -> DataFrame:

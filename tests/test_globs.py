@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from sigtrace.functions import glob_literals, glob_to_regex, suffix_key
+from sigtrace.functions.globs import is_pieces, pieces_match
 
 FIXED = [
     ("*.example.com", r"(?s)^.*\.example\.com\z"),
@@ -55,3 +56,15 @@ def test_literals_and_suffix(spark):
     assert literals("a[b") == ["a[b"]
     assert suffix("*.evil.com") == "evil.com"
     assert suffix("*.evil.*") is None and suffix("*.") is None and suffix("evil") is None
+
+
+def test_pieces_agree_with_fnmatch(spark):
+    rng = random.Random(11)
+    word = lambda parts, n: "".join(rng.choice(parts) for _ in range(rng.randint(0, n)))
+    globs = list({word(["a", "b", "ab", "*", "*", ".", "é", "\\", "$", "(", "\U0001f600"], 8) for _ in range(600)})
+    texts = list({word("ab.é\\$(\n\U0001f600", 8) for _ in range(150)})
+    g, t = (spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("g", globs), ("t", texts)))
+    got = {(r.g, r.t) for r in g.join(t, is_pieces(F.col("g")) & pieces_match(F.col("t"), F.col("g"))).collect()}
+    want = {(x, y) for x in globs for y in texts if fnmatch.fnmatchcase(y, x)}
+    assert (sorted(got - want)[:5], sorted(want - got)[:5]) == ([], []) and len(got) > 500
+    assert [r[0] for r in spark.createDataFrame([("a?",), ("[a]",), ("a*",)], "g string").select(is_pieces(F.col("g"))).collect()] == [False, False, True]
