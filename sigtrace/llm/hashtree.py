@@ -26,6 +26,8 @@ from .rows import only
 
 #: Rows that one window numbers, in expectation, times the number of shards.
 BUCKET_ROWS = 20_000
+#: Copies of one row that a task makes rows of at once.
+PIECE = 10_000
 
 
 @dataclass(frozen=True)
@@ -114,8 +116,13 @@ def numbered(assigned: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     placed = first.join(offsets, ["shard", "bucket"])
-    start = F.col("offset") + F.col("first")
-    return placed.select(*rows.columns, F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"))
+    # copies are dealt out in pieces over all tasks before they become rows
+    last = F.floor((F.col("copies") - 1) / PIECE).cast("long")
+    pieces = placed.select(
+        *rows.columns, (F.col("offset") + F.col("first")).alias("start"), "copies", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")
+    ).repartition(*rows.columns, "piece")
+    begin, end = F.col("piece") * PIECE, F.least(F.col("copies"), (F.col("piece") + 1) * PIECE)
+    return pieces.select(*rows.columns, F.explode(F.sequence(F.col("start") + begin, F.col("start") + end - 1)).alias("slot"))
 
 
 def shard(documents: DataFrame, count: int = 16) -> DataFrame:

@@ -62,3 +62,14 @@ def test_a_changed_weight_moves_rows_only_to_or_from_its_branch(spark):
 
 def test_empty_table(spark):
     assert hashtree.shard(documents(spark, [])).count() == 0
+
+
+def test_a_row_with_many_copies_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(hashtree, "PIECE", 7)
+    rows = [(5, "same")] * 500 + [(i, f"t{i}") for i in range(40)]
+    got = hashtree.shard(documents(spark, rows)).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 540 and sum(r.doc_id == 5 for r in got) == 501
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
