@@ -8,7 +8,9 @@ are thus cut by content: a lost, added or cut record changes its own leaf and th
 nodes above, and leaves behind it stay as they are though they stand elsewhere in the file.  Two replicas
 are compared from the roots down: only children of differing nodes are read
 at each level, and only records of differing ranges are compared one by one.  That
-everything behind a place has moved is told once for each file.
+everything behind a place has moved is told once for each file; on request every moved
+record is told too: a range with the same hash at another start holds the same records, all moved by
+the difference of the starts.
 
 Equal records of a file stand next to each other and are held as one entry with its
 number of copies, so that no range grows with repeated captures.  Null columns of a
@@ -85,12 +87,13 @@ def node_of(record_id: Column, level: int) -> Column:
 
 
 def leaves(entries: DataFrame, level: int) -> DataFrame:
-    """(file, node, hash) of ranges of records, offsets counted from the first of them."""
+    """(file, node, hash, start) of ranges of records, offsets hashed as counted from ``start``, that of the first."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "record_id", "length", "copies", "digest")))
     text = lambda e, first: F.concat_ws(":", e["offset"] - first, e["record_id"], e["length"], e["copies"], e["digest"])
     grouped = entries.groupBy("file", node_of(F.col("record_id"), level).alias("node")).agg(ordered.alias("range"))
-    joined = F.array_join(F.transform("range", lambda e: text(e, F.col("range")[0]["offset"])), ",")
-    return grouped.select("file", "node", F.sha2(joined.cast("binary"), 256).alias("hash"))
+    start = F.col("range")[0]["offset"]
+    joined = F.array_join(F.transform("range", lambda e: text(e, start)), ",")
+    return grouped.select("file", "node", F.sha2(joined.cast("binary"), 256).alias("hash"), start.alias("start"))
 
 
 def above(nodes: DataFrame) -> DataFrame:
@@ -128,27 +131,45 @@ def differing(one: DataFrame, other: DataFrame, parents: DataFrame | None) -> Da
     return joined.where(~F.col("hash_0").eqNullSafe(F.col("hash_1"))).select("file", "node")
 
 
+def descend(trees: list[list[DataFrame]]) -> DataFrame:
+    """The leaves (file, node) in which two trees differ, found from the roots down."""
+    nodes = None
+    for one, other in zip(*map(reversed, trees)):
+        nodes = stage(differing(one, other, nodes))
+    return nodes
+
+
 def suspects(expected: DataFrame, found: DataFrame, records: int = RANGE) -> tuple[DataFrame, int]:
-    """The leaves (file, node) that differ, found from the roots down, and their level."""
+    """The leaves (file, node) that differ and their level."""
     levels = height([expected, found], records)
-    trees = [tree(e, levels) for e in (expected, found)]
-    nodes = None
-    for level in range(levels, -1, -1):
-        nodes = stage(differing(trees[0][level], trees[1][level], nodes))
-    return nodes, levels
+    return descend([tree(e, levels) for e in (expected, found)]), levels
+
+
+def moved_with_ranges(entries: DataFrame, one: DataFrame, other: DataFrame, level: int) -> DataFrame:
+    """Rows of ``audit`` for the records of equal leaves that start elsewhere in ``other``; ``entries`` are those of ``one``."""
+    starts = one.withColumnRenamed("start", "start_0").join(other.withColumnRenamed("start", "start_1"), ["file", "node", "hash"])
+    ranges = starts.where("start_0 <> start_1").select("file", "node", (F.col("start_1") - F.col("start_0")).alias("by"))
+    inside = entries.withColumn("node", node_of(F.col("record_id"), level)).join(ranges, ["file", "node"])
+    rows = inside.groupBy("file", "record_id").agg(
+        F.min("offset").alias("expected_offset"), F.min(F.col("offset") + F.col("by")).alias("found_offset"), F.min("length").alias("length")
+    )
+    return rows.select("file", "record_id", F.lit("moved").alias("status"), "expected_offset", "found_offset", "length")
 
 
-def audit(expected: DataFrame, found: DataFrame, records: int = RANGE) -> DataFrame:
+def audit(expected: DataFrame, found: DataFrame, records: int = RANGE, moved: bool = False) -> DataFrame:
     """file, record_id, status, expected_offset, found_offset, length of every record that differs.
 
     ``expected`` and ``found`` are tables of ``fixity``.  Status: ``corrupt`` (other
     bytes), ``missing``, ``extra`` or ``copies`` (stored more or less often).  A file in which records
     stand elsewhere because of such a one has one more row, ``shifted``, with the first record
     that moves the others: where it ends in both replicas, and as length how much longer the found
-    file is in all (shorter: negative).  Equal replicas give no rows.
+    file is in all (shorter: negative).  With ``moved`` every record of the same bytes at another
+    offset has a row ``moved`` as well.  Equal replicas give no rows.
     """
     expected, found = stage(expected), stage(found)
-    nodes, level = suspects(expected, found, records)
+    level = height([expected, found], records)
+    trees = [tree(e, level) for e in (expected, found)]
+    nodes = descend(trees)
     keys = ["file", "record_id", "digest"]
     sides = []
     for side, entries in enumerate((expected, found)):
@@ -156,12 +177,14 @@ def audit(expected: DataFrame, found: DataFrame, records: int = RANGE) -> DataFr
         sides.append(touched.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("offset", "length", "copies"))))
     pairs = sides[0].join(sides[1], keys, "full")
     lost, gained = F.col("offset_1").isNull(), F.col("offset_0").isNull()
+    elsewhere = F.col("offset_0") != F.col("offset_1")
     recounted = F.col("copies_0") != F.col("copies_1")
     size = lambda side: F.coalesce(F.sum(F.col(f"length_{side}") * F.col(f"copies_{side}")), F.lit(0))
     compared = pairs.groupBy("file", "record_id").agg(
         F.max(lost).alias("lost"),
         F.max(gained).alias("gained"),
         F.max(recounted).alias("recounted"),
+        F.max(elsewhere).alias("elsewhere"),
         F.min("offset_0").alias("expected_offset"),
         F.min("offset_1").alias("found_offset"),
         F.min(F.coalesce("length_0", "length_1")).alias("length"),
@@ -173,16 +196,18 @@ def audit(expected: DataFrame, found: DataFrame, records: int = RANGE) -> DataFr
         .when(F.col("lost"), "missing")
         .when(F.col("gained"), "extra")
         .when(F.col("recounted"), "copies")
+        .when(F.col("elsewhere") & F.lit(moved), "moved")
     )
     rows = stage(compared.withColumn("status", status).where("status is not null"))
     # nothing before the first record of another size has moved, so it begins at one place in both replicas
     begins = F.coalesce("expected_offset", "found_offset")
     first = F.min(F.struct("record_id", (begins + F.col("size_0")).alias("ends_0"), (begins + F.col("size_1")).alias("ends_1")))
-    moved = rows.where("size_0 <> size_1").groupBy("file").agg(first.alias("first"), F.sum(F.col("size_1") - F.col("size_0")).alias("length"))
-    shifts = moved.select(
+    sizes = rows.where("size_0 <> size_1").groupBy("file").agg(first.alias("first"), F.sum(F.col("size_1") - F.col("size_0")).alias("length"))
+    shifts = sizes.select(
         "file", "first.record_id", F.lit("shifted").alias("status"), F.col("first.ends_0").alias("expected_offset"), F.col("first.ends_1").alias("found_offset"), "length"
     )
-    return rows.select(*shifts.columns).unionByName(shifts)
+    out = rows.select(*shifts.columns).unionByName(shifts)
+    return out.unionByName(moved_with_ranges(expected, trees[0][0], trees[1][0], level)) if moved else out
 
 
 def aged(laid_out: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ pairs AS (
          coalesce(a.length * a.copies, 0) AS a_size, coalesce(b.length * b.copies, 0) AS b_size
   FROM (SELECT * FROM placed WHERE side = 0) a FULL JOIN (SELECT * FROM placed WHERE side = 1) b USING (file, record_id, digest)),
 records AS (
-  SELECT file, record_id, bool_or(b_offs IS NULL) AS lost, bool_or(a_offs IS NULL) AS gained, bool_or(a_n <> b_n) AS recounted,
+  SELECT file, record_id, bool_or(b_offs IS NULL) AS lost, bool_or(a_offs IS NULL) AS gained, bool_or(a_n <> b_n) AS recounted, bool_or(a_offs <> b_offs) AS moved,
          min(a_offs) AS expected_offset, min(b_offs) AS found_offset, min(length) AS length, sum(a_size) AS a_size, sum(b_size) AS b_size
   FROM pairs GROUP BY file, record_id),
 sizes AS (SELECT file, CAST(sum(a_size) AS BIGINT) AS a_all, CAST(sum(b_size) AS BIGINT) AS b_all FROM records GROUP BY file),
@@ -108,9 +108,10 @@ first AS (
   SELECT file, record_id, coalesce(expected_offset, found_offset) AS start, a_size, b_size FROM records
   WHERE a_size <> b_size QUALIFY row_number() OVER (PARTITION BY file ORDER BY record_id) = 1)
 SELECT file, record_id,
-       CASE WHEN lost AND gained THEN 'corrupt' WHEN lost THEN 'missing' WHEN gained THEN 'extra' ELSE 'copies' END AS status,
+       CASE WHEN lost AND gained THEN 'corrupt' WHEN lost THEN 'missing' WHEN gained THEN 'extra'
+            WHEN recounted THEN 'copies' ELSE 'moved' END AS status,
        coalesce(expected_offset, -1) AS expected_offset, coalesce(found_offset, -1) AS found_offset, length
-FROM records WHERE lost OR gained OR recounted
+FROM records WHERE lost OR gained OR recounted OR moved
 UNION ALL
 SELECT file, record_id, 'shifted', CAST(start + a_size AS BIGINT), CAST(start + b_size AS BIGINT), b_all - a_all FROM first JOIN sizes USING (file)
 """

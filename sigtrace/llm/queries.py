@@ -67,7 +67,7 @@ def op7_sentencepiece(spark, sf_dir):
 @query
 def op8_warc_fixity(spark, sf_dir):
     written = merkle.layout(table(spark, sf_dir, "pages"))
-    found = merkle.audit(merkle.fixity(written), merkle.fixity(merkle.aged(written)))
+    found = merkle.audit(merkle.fixity(written), merkle.fixity(merkle.aged(written)), moved=True)
     return found.fillna(-1, ["expected_offset", "found_offset"])  # -1: the record is not in that replica
 
 

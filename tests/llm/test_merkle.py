@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sigtrace.llm import merkle as M
+from sigtrace.llm.queries import QUERIES
 
 
 def pages(spark, n=600):
@@ -116,3 +117,23 @@ def test_equal_replicas_and_empty_tables(spark):
     none = M.fixity(M.layout(pages(spark).limit(0)))
     assert M.audit(none, none).count() == 0
     assert {r.status for r in M.audit(entries, none).collect()} == {"missing", "shifted"}
+
+
+def test_every_moved_record_has_a_row(spark, monkeypatch):
+    monkeypatch.setattr(M, "RECORDS", 200)
+    written = M.layout(pages(spark), 200).cache()
+    damaged = M.aged(written).where("record_id not like '3%'").unionByName(written.where("page_id = 77")).cache()
+    one, other = by_hand(written.collect()), by_hand(damaged.collect())
+    want = status(one, other)
+    told = {key[:2] for key in want if key[2] != "shifted"}
+    for key in set(one) & set(other):
+        if key[:2] not in told and one[key][0] != other[key][0]:
+            want[(*key[:2], "moved")] = (one[key][0], other[key][0], one[key][1])
+    for records in (M.RANGE, 1, 10_000):
+        assert rows_of(M.audit(M.fixity(written), M.fixity(damaged), records, moved=True)) == want
+    assert sum(kind == "moved" for _, _, kind in want) > 300
+
+
+def test_the_query_tells_moved_records(spark, sf_dir):
+    rows = QUERIES["op8_warc_fixity"](spark, sf_dir).where("status = 'moved'").collect()
+    assert rows and all(r.expected_offset != r.found_offset for r in rows)
