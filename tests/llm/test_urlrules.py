@@ -130,3 +130,68 @@ def test_copies_weigh_as_one(spark, monkeypatch):
     df = spark.createDataFrame(hot + rest, "url string, tokens array<string>, verdict string")
     assert 35 < U.drawn(df).count() < 85
     assert {r.verdict for r in U.mine(df).collect()} == {"block"}
+
+
+def strongest(rules, tokens):
+    """Confidence of the surest rule of each verdict for a set of tokens; ``rules`` are triples of tokens, verdict, confidence."""
+    return {v: max([c for part, w, c in rules if w == v and set(part) <= set(tokens)], default=0) for v in ("allow", "block")}
+
+
+def test_classes_beyond_the_basket_are_mined(spark, monkeypatch):
+    """Four classes are more frequent in every URL than r and s, of which only both together tell the verdict."""
+    monkeypatch.setattr(U, "BASKET", 4)
+    monkeypatch.setattr(U, "MIN_SUPPORT", 0.05)
+    rows = []
+    for i in range(120):
+        without = {i % 6, (i + 1 + i // 6 % 5) % 6}
+        extra = [["r", "s"], ["r"], ["s"], []][i // 6 % 4]
+        verdict = "block" if len(extra) == 2 or (not extra and i % 2) else "allow"
+        rows.append((f"u{i}", [f"f{c}" for c in range(6) if c not in without] + extra, verdict))
+    df = spark.createDataFrame(rows, "url string, tokens array<string>, verdict string")
+    rules = [(r.tokens, r.verdict, r.confidence) for r in U.mine(df).collect()]
+    assert (["r", "s"], "block", 1.0) in rules
+
+
+@pytest.mark.parametrize("basket", [1, 2, 4])
+def test_rules_of_long_urls_equal_brute_force(spark, monkeypatch, basket):
+    """However few classes FP-growth gets, the rules are the same: all that no smaller set says as surely."""
+    monkeypatch.setattr(U, "MIN_SUPPORT", 0.06)
+    monkeypatch.setattr(U, "BASKET", basket)
+    rng = random.Random(11)
+    rows = []
+    for i in range(50):
+        tokens = rng.sample("abcdefgh", rng.randint(3, 8)) + (["x", "y"] if i % 5 == 0 else [])
+        verdict = "block" if len(set(tokens) & set("adfh")) % 2 or i % 17 == 0 else "allow"
+        rows.append((f"u{i}", sorted(tokens), verdict))
+    df = spark.createDataFrame(rows + rows[:1] * 30, "url string, tokens array<string>, verdict string")
+    every = [(part, v, c) for (part, v), c in brute_rules([r[1:] for r in rows], 3, U.MIN_CONFIDENCE).items()]
+    got = [(r.tokens, r.verdict, r.confidence) for r in U.mine(df).collect()]
+    assert len({(tuple(p), v) for p, v, _ in got}) == len(got) and max(len(p) for p, _, _ in got) > basket
+    for size in range(1, 10):
+        for tokens in combinations("abcdefghx", size):
+            tokens += ("y",) * ("x" in tokens)  # x and y are one class
+            assert strongest(got, tokens) == pytest.approx(strongest(every, tokens)), tokens
+    surest = {(p, v): c for p, v, c in every}
+    for part, verdict, confidence in got:  # only what no smaller set says as surely
+        smaller = [s for n in range(1, len(part)) for s in combinations(part, n)]
+        assert not any(surest.get((s, verdict), 0) >= confidence for s in smaller if not {"x", "y"} & set(part))
+
+
+def test_long_urls_of_both_verdicts_end(spark):
+    """Two URLs of other verdicts share sixty segments each with others, all in sets of URLs of their own."""
+    names = [f"s{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60)]
+    urls = ["http://example.com/en/" + "/".join(names), "http://www.example.com/en/" + "/".join(names)]
+    urls += [f"http://{'www.' * (i % 2)}example.com/en/{name}" for i, name in enumerate(names)]
+    urls += ["http://q.info/" + "/".join(names[:2]), "http://q.info/sxx"]
+    start = time.monotonic()
+    got = {r.page_id: r.verdict for r in U.classify(pages(spark, urls)).collect()}
+    assert time.monotonic() - start < 120 and got[0] == "block" and got[1] == "allow" and len(got) == len(urls)
+
+
+def test_all_urls_are_mined(spark, monkeypatch):
+    """The bound of ``drawn`` takes nothing from mining."""
+    rows = [(f"u{i}", ["t", f"v{i % 50}"], "block" if i % 50 < 49 else "allow") for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, tokens array<string>, verdict string")
+    monkeypatch.setattr(U, "SAMPLE", 5)
+    support = {tuple(r.tokens): r.support for r in U.mine(df).collect()}
+    assert support == {("t",): 0.98, **{(f"v{i}",): 0.02 for i in range(50)}}
